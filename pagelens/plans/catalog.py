@@ -2,6 +2,6 @@
 
 from __future__ import annotations
 
-from pagelens.plans import page_queries
+from pagelens.plans import page_queries, text_queries
 
-ENTRIES = [*page_queries.ENTRIES]
+ENTRIES = [*page_queries.ENTRIES, *text_queries.ENTRIES]

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions import checks, html
@@ -143,23 +144,17 @@ def url_list_entries(spark, sf):
 @ENTRIES.add(
     "url_batch_cap",
     "S2",
-    f"""WITH {S.URL_LIST}, h AS (SELECT {S.host('p.url')} AS host, l.batch_id * 100000 + l.position AS seq, l.url
+    f"""WITH {S.URL_LIST}, h AS (SELECT {S.host('p.url')} AS host, l.batch_id, l.position, l.url
         FROM listed l JOIN pages p ON p.page_id = l.batch_id)
-    SELECT host, seq, url FROM (SELECT *, row_number() OVER (PARTITION BY host ORDER BY seq) AS k FROM h) WHERE k <= 100""",
+    SELECT host, batch_id, position, url FROM
+        (SELECT *, row_number() OVER (PARTITION BY host ORDER BY batch_id, position) AS k FROM h) WHERE k <= 100""",
 )
 def url_batch_cap(spark, sf):
-    from pyspark.sql import Window as W
-
-    p = pages(spark, sf)
-    lists = url_lists(p).withColumnRenamed("batch_id", "page_id")
-    rows = listed_urls(lists.withColumnRenamed("page_id", "batch_id"))
-    hosts = p.select(F.col("page_id").alias("batch_id"), link_ops.host_of(F.col("url")).alias("host"))
-    seq = (F.col("batch_id") * 100000 + F.col("position")).alias("seq")
-    k = F.row_number().over(W.partitionBy("host").orderBy("seq"))
+    rows = listed_urls(url_lists(pages(spark, sf)), keep=("page_url",))
+    k = F.row_number().over(W.partitionBy("host").orderBy("batch_id", "position"))
     # The cap is applied inside every task before the shuffle, so a hot host sends 100 rows per task.
     return (
-        rows.join(hosts, "batch_id")
-        .select("host", seq, F.col("url"))
+        rows.select(link_ops.host_of(F.col("page_url")).alias("host"), "batch_id", "position", "url")
         .withColumn("k", k)
         .filter(F.col("k") <= checks.MAX_BATCH_URLS)
         .drop("k")

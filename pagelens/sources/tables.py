@@ -66,16 +66,17 @@ def url_lists(pages: DataFrame) -> DataFrame:
     found = hrefs(without_code(F.col("html")))
     return pages.select(
         F.col("page_id").alias("batch_id"),
+        F.col("url").alias("page_url"),
         F.concat_ws("\n", F.concat(F.array("url"), found)).alias("urls_text"),
     )
 
 
-def listed_urls(lists: DataFrame) -> DataFrame:
+def listed_urls(lists: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
     """S3: newline text to trimmed, non-empty addresses with their position in the batch."""
     lines = F.filter(F.transform(F.split("urls_text", "\n", -1), strip), lambda u: u != "")
     return (
-        lists.select("batch_id", F.posexplode_outer(lines).alias("i", "url"))
-        .select("batch_id", (F.col("i") + 1).cast("bigint").alias("position"), "url")
+        lists.select("batch_id", *keep, F.posexplode_outer(lines).alias("i", "url"))
+        .select("batch_id", *keep, (F.col("i") + 1).cast("bigint").alias("position"), "url")
         .filter("url IS NOT NULL")
     )
 
