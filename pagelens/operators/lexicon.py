@@ -150,26 +150,20 @@ def token_categories(df: DataFrame, key: str, text: str, lists: Mapping[str, Seq
     return shares.withColumns({"predicted_category": top, "confidence": best})
 
 
-def substring_category(text: Column, lists: Mapping[str, Sequence[str]]) -> dict[str, Column]:
-    """Keywords contained in the lower-cased text, as one projection.
+def add_substring_category(df: DataFrame, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
+    """Scores, first-wins argmax (the first category when nothing matches) and confidence.
 
-    A keyword list is a parameter of known size, so the theta join becomes a sum of
+    A keyword list is a parameter of known size, so the theta join on `contains` becomes a sum of
     tests inside the row: no nested-loop join and no exploded intermediate.
     """
-    low = F.lower(text)
-    scores = {}
-    for name, words in lists.items():
-        score = F.lit(0)
-        for w in dict.fromkeys(words):
-            score = score + F.contains(low, F.lit(w)).cast("int")
-        scores[name] = score.cast("bigint")
-    return scores
+    names = list(lists)
 
+    def score(words: Sequence[str]) -> Column:
+        quoted = ["'" + w.replace("\\", "\\\\").replace("'", "\\'") + "'" for w in dict.fromkeys(words)]
+        return F.expr("cast(" + " + ".join(f"cast(contains(__low, {w}) as int)" for w in quoted) + " as bigint)")
 
-def add_substring_category(df: DataFrame, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Scores, first-wins argmax (the first category when nothing matches) and confidence."""
-    names = list(lists)
-    df = df.withColumns({f"score_{n}": c for n, c in substring_category(F.col(text), lists).items()})
+    df = df.withColumn("__low", F.lower(text)).withColumns({f"score_{n}": score(ws) for n, ws in lists.items()})
+    df = df.drop("__low")
     best = F.greatest(*[F.col(f"score_{n}") for n in names])
     top = F.when(F.col(f"score_{names[0]}") == best, names[0])
     for n in names[1:]:

@@ -250,13 +250,13 @@ CUBE = """cube AS (SELECT job_id, category, sentiment, count(*) AS n, sum(word_c
     sum(quality_score) AS quality, min(content_id) AS first_id FROM content GROUP BY ALL)"""
 
 JOB_ROWS = f"""job_rows AS (SELECT doc_id AS content_id, 'job_' || source AS job_id,
-    'https://' || source || '.example.org/' || doc_id AS url, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS at,
+    'https://' || source || '.example.org/' || doc_id AS url, TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS seen_at,
     {content_reason('text')} AS reason FROM documents)"""
 JOBS = (
     JOB_ROWS
     + f""", counters AS (SELECT job_id, count(*) AS total_urls, count_if(reason IS NULL)::BIGINT AS processed_urls,
-    count_if(reason IS NOT NULL)::BIGINT AS failed_urls, min(at) AS start_time, max(at) AS end_time,
-    datediff('second', min(at), max(at)) AS duration FROM job_rows GROUP BY job_id),
+    count_if(reason IS NOT NULL)::BIGINT AS failed_urls, min(seen_at) AS start_time, max(seen_at) AS end_time,
+    datediff('second', min(seen_at), max(seen_at)) AS duration FROM job_rows GROUP BY job_id),
   cancelled AS (SELECT 'job_' || d.source AS job_id FROM documents d JOIN labels l USING (doc_id) WHERE l.toxic = 1
     GROUP BY 1 HAVING count(*) >= {P.CANCELLED_TOXIC}),
   jobs AS (SELECT c.*, CASE WHEN x.job_id IS NOT NULL THEN 'cancelled'

@@ -239,7 +239,7 @@ _LANG_COLS = [(f"n_{c}", c) for c in seeds.LANGUAGES]
     "language",
     "N8",
     f"""WITH t AS (SELECT doc_id, unnest({S.tokens('text')}) AS word FROM documents),
-    v AS (SELECT doc_id, {', '.join(f"count_if(profile = '{c}') AS n_{c}" for c in seeds.LANGUAGES)} FROM t
+    v AS (SELECT doc_id, {', '.join(f"count(*) FILTER (profile = '{c}') AS n_{c}" for c in seeds.LANGUAGES)} FROM t
         LEFT JOIN {seeds.sql_values(_PROFILE, 'word, profile')} l USING (word) GROUP BY doc_id),
     b AS (SELECT *, greatest({', '.join(c for c, _ in _LANG_COLS)}) AS best, {S.first_best(_LANG_COLS)} AS first_best FROM v)
     SELECT b.doc_id, CASE WHEN best = 0 THEN 'en' ELSE first_best END AS language, best::BIGINT AS votes,
@@ -259,7 +259,7 @@ _CAT_COLS = [(c, c) for c in _CATS]
     "token_categories",
     "N9 J4 W8",
     f"""WITH t AS (SELECT doc_id, unnest({S.tokens('text')}) AS word FROM documents),
-    h AS (SELECT doc_id, {', '.join(f"count_if(category = '{c}')::DOUBLE AS n_{c}" for c in _CATS)} FROM t
+    h AS (SELECT doc_id, {', '.join(f"count(*) FILTER (category = '{c}')::DOUBLE AS n_{c}" for c in _CATS)} FROM t
         LEFT JOIN {seeds.sql_values(_CAT_ROWS, 'word, category')} l USING (word) GROUP BY doc_id),
     u AS (SELECT *, {' + '.join(f'n_{c}' for c in _CATS)} AS total FROM h),
     g AS (SELECT doc_id, {', '.join(f'CASE WHEN total > 0 THEN n_{c} / total ELSE 0.0::DOUBLE END AS {c}' for c in _CATS)} FROM u)
@@ -358,9 +358,9 @@ def summaries(spark, sf):
     t AS (SELECT doc_id, unnest({S.tokens('c')}) AS word FROM k),
     s AS (SELECT doc_id, coalesce(sum(valence), 0.0::DOUBLE) AS total FROM t
         LEFT JOIN {seeds.sql_values(P.SENTIMENT, 'word, valence, polarity, subjectivity')} x USING (word) GROUP BY 1),
-    v AS (SELECT doc_id, {', '.join(f"count_if(profile = '{c}') AS n_{c}" for c in seeds.LANGUAGES)} FROM t
+    v AS (SELECT doc_id, {', '.join(f"count(*) FILTER (profile = '{c}') AS n_{c}" for c in seeds.LANGUAGES)} FROM t
         LEFT JOIN {seeds.sql_values(_PROFILE, 'word, profile')} x USING (word) GROUP BY doc_id),
-    h AS (SELECT doc_id, {', '.join(f"count_if(category = '{c}') AS {c}" for c in _CATS)} FROM t
+    h AS (SELECT doc_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in _CATS)} FROM t
         LEFT JOIN {seeds.sql_values(_CAT_ROWS, 'word, category')} x USING (word) GROUP BY doc_id),
     f AS ({_top_words(S.content_words(S.clean('text'), 3), 'true')})
     SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN 'Text too short for analysis' END AS error,
@@ -368,7 +368,7 @@ def summaries(spark, sf):
         CASE WHEN k.doc_id IS NOT NULL THEN r.reading_level END AS reading_level, {S.compound('s.total')} AS compound,
         CASE WHEN greatest({', '.join('v.' + c for c, _ in _LANG_COLS)}) = 0 THEN 'en' ELSE {S.first_best(_LANG_COLS)} END AS language,
         CASE WHEN greatest({', '.join(_CATS)}) = 0 THEN 'general' ELSE {S.first_best(_CAT_COLS)} END AS category,
-        f.word AS top_word
+        CASE WHEN k.doc_id IS NOT NULL THEN f.word END AS top_word
     FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN readability r USING (doc_id) LEFT JOIN s USING (doc_id)
         LEFT JOIN v USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE rank = 1) f USING (doc_id)""",
 )
@@ -555,9 +555,9 @@ _RESPONSE = """m AS (SELECT conv_id, turn, text, (length(text) % 3) AS k, (lengt
         unnest(range(0, len(string_split(response, chr(10))))) AS i FROM r),
     a AS (SELECT conv_id, turn, arg_max(CASE WHEN contains(lower(s), 'positive') THEN 'positive' WHEN contains(lower(s), 'negative')
         THEN 'negative' ELSE 'neutral' END, i) FILTER (contains(lower(s), 'sentiment') OR contains(lower(s), 'overall')) AS sentiment,
-        arg_max(regexp_extract(s, '([0-9]*\\.?[0-9]+)', 1)::DOUBLE, i) FILTER (contains(lower(s), 'confidence') AND NOT
+        arg_max(TRY_CAST(regexp_extract(s, '([0-9]*\\.?[0-9]+)', 1) AS DOUBLE), i) FILTER (contains(lower(s), 'confidence') AND NOT
             (contains(lower(s), 'sentiment') OR contains(lower(s), 'overall')) AND regexp_matches(s, '[0-9]')) AS confidence,
-        arg_max(regexp_extract(s, '([0-9]+(?:\\.[0-9]+)?)', 1)::DOUBLE, i) FILTER (contains(lower(s), 'score') AND regexp_matches(s, '[0-9]')) AS x
+        arg_max(TRY_CAST(regexp_extract(s, '([0-9]+(?:\\.[0-9]+)?)', 1) AS DOUBLE), i) FILTER (contains(lower(s), 'score') AND regexp_matches(s, '[0-9]')) AS x
         FROM l GROUP BY conv_id, turn),
     t AS (SELECT conv_id, turn, i, {S.strip(f"regexp_replace({S.strip('s')}, '^[-•]+', '')")} AS topic FROM l
         WHERE contains(lower(s), 'topic') OR contains(lower(s), 'theme') OR contains(s, '-') OR contains(s, '•')),
