@@ -14,11 +14,14 @@ from pagelens.sources.tables import SCHEMAS
 
 
 def landed(spark: SparkSession, path: str, table: str, files_per_batch: int | None = None) -> DataFrame:
-    """A stream over Parquet files as they land, with the declared schema."""
+    """A stream over Parquet files as they land, with the declared schema.
+
+    The path is given as a pattern, which admits one file as well as a folder of files.
+    """
     reader = spark.readStream.schema(SCHEMAS[table])
     if files_per_batch:
         reader = reader.option("maxFilesPerTrigger", files_per_batch)
-    return reader.parquet(path)
+    return reader.parquet(f"{path[:-1]}[{path[-1]}]")
 
 
 def page_rows(pages: DataFrame) -> DataFrame:

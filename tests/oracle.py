@@ -42,10 +42,13 @@ def rows_of(columns, rows):
 
 def compare(entry, spark, con, folder):
     """None when equal, else a short description of the difference."""
+    t = time.time()
     df = entry.run(spark, folder)
     left = rows_of(df.columns, [tuple(r) for r in df.collect()])
+    mid = time.time()
     cur = con.execute(entry.sql)
     right = rows_of([c[0] for c in cur.description], cur.fetchall())
+    compare.times = (mid - t, time.time() - mid)
     if left[0] != right[0]:
         return f"columns {left[0]} != {right[0]}"
     if len(left[1]) != len(right[1]):
@@ -80,7 +83,7 @@ def main():
         except Exception as exc:
             result = f"{type(exc).__name__}: {str(exc)[:700]}"
         bad += result is not None
-        print(f"{'ok ' if result is None else 'BAD'} {e.name} {time.time() - t:.1f}s {'' if e.sql else '(rows only)'} {result or ''}", flush=True)
+        print(f"{'ok ' if result is None else 'BAD'} {e.name} {time.time() - t:.1f}s {"spark %.1f duckdb %.1f" % getattr(compare, "times", (0, 0))} {'' if e.sql else '(rows only)'} {result or ''}", flush=True)
     print("failures", bad)
 
 
