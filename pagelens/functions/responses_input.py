@@ -5,6 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.text import tokens
+from pagelens.session import bounded_broadcast
+
 
 def responses(conversations: DataFrame) -> DataFrame:
     """A response per assistant message: labelled lines, then the message as a bullet list."""
@@ -22,21 +25,31 @@ def responses(conversations: DataFrame) -> DataFrame:
     )
 
 
-def search(
-    df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str, max_queries: int = 10_000
-) -> DataFrame:
+MAX_INPUTS = 10_000
+
+
+def search(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: str, query: str) -> DataFrame:
     """P10 for many inputs: (query_key, key) for every document that contains a query.
 
-    Inputs and documents meet on a shared word, the first of the query, instead of pairing
-    every document with every input; the full substring test follows on those pairs.
+    Inputs and documents meet on a whole word of the query instead of pairing every
+    document with every input; the substring test follows on those few pairs. A list
+    of inputs within the checked bound becomes a constant, so only documents' matching
+    words are unnested. Inputs without a whole inner word are tested in the row.
     """
-    from pagelens.functions.text import tokens
-    from pagelens.session import bounded_broadcast
-
     low = F.lower(F.col(query))
-    inputs = queries.select(
-        query_key, low.alias("__q"), F.regexp_extract(low, r"[^\p{L}\p{N}_]([\p{L}\p{N}_]+)[^\p{L}\p{N}_]", 1).alias("__w")
-    ).filter("__q <> ''")
-    words = df.select(key, F.lower(text).alias("__t"), F.explode(F.array_distinct(tokens(F.col(text)))).alias("__w"))
-    small = bounded_broadcast(inputs, max_queries)
-    return words.join(small, "__w").filter(F.contains("__t", F.col("__q"))).select(query_key, key)
+    word = F.regexp_extract(low, r"[^\p{L}\p{N}_]([\p{L}\p{N}_]+)[^\p{L}\p{N}_]", 1)
+    inputs = queries.select(query_key, low.alias("__q"), word.alias("__w")).filter("__q <> ''")
+    anchored, short = inputs.filter("__w <> ''"), inputs.filter("__w = ''").drop("__w")
+    words = F.array_distinct(tokens(F.col(text)))
+    listed = [r[0] for r in anchored.select("__w").distinct().limit(MAX_INPUTS + 1).collect()]
+    if len(listed) <= MAX_INPUTS:
+        words = F.array_intersect(words, F.split(F.lit("\u0001".join(listed)), "\u0001", -1))
+    rows = df.select(key, F.lower(text).alias("__t"), F.explode(words).alias("__w"))
+    found = rows.join(bounded_broadcast(anchored, MAX_INPUTS), "__w").filter(F.contains("__t", F.col("__q")))
+    out = found.select(query_key, key)
+    if short.isEmpty():
+        return out
+    tested = df.select(key, F.lower(text).alias("__t")).join(
+        bounded_broadcast(short, MAX_INPUTS), F.contains("__t", F.col("__q"))
+    )
+    return out.unionByName(tested.select(query_key, key))

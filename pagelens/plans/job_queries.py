@@ -408,8 +408,7 @@ def source_comparison(spark, sf):
 def distinct_counts(spark, sf):
     # Texts travel as fixed-size hashes; distinct pairs are formed before the count per language.
     rows = docs(spark, sf).select("lang", "source", F.sha2("text", 256).alias("h"))
-    texts = rows.groupBy("lang", "h").agg(F.collect_set("source").alias("s")).select("lang", "h", "s")
-    per = texts.groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
+    per = rows.select("lang", "h").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("texts"))
     sources = rows.select("lang", "source").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("sources"))
     return per.join(sources, "lang")
 

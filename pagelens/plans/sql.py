@@ -239,7 +239,7 @@ ENRICHED = f"""{DISPLAY}, {COMPOUND},
     least({BEST_SCORE}::DOUBLE / greatest(word_count::DOUBLE * 0.01::DOUBLE, 1.0::DOUBLE), 1.0::DOUBLE) AS category_confidence FROM scored),
   sentimental AS (SELECT *, CASE WHEN compound > 0.05 THEN 'positive' WHEN compound < -0.05 THEN 'negative' ELSE 'neutral' END
     AS sentiment FROM labelled),
-  content AS (SELECT doc_id AS content_id, 'job_' || source AS job_id, 'https://' || source || '.example.org/' || doc_id AS url,
+  content AS MATERIALIZED (SELECT doc_id AS content_id, 'job_' || source AS job_id, 'https://' || source || '.example.org/' || doc_id AS url,
     {strip("regexp_extract(text, '^[^.!?' || chr(10) || ']*', 0)")} AS title, text AS content,
     TIMESTAMP '2024-01-01' + to_seconds(doc_id) AS scraped_at, 'static' AS engine, {content_reason('text')} AS error,
     word_count, readability_score, compound, sentiment, category, category_confidence, keyword_matches,

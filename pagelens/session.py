@@ -59,7 +59,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
     in one task. Inputs with enough splits are returned untouched: no shuffle.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
-    if df.rdd.getNumPartitions() >= 4 * cores:
+    if df.rdd.getNumPartitions() >= cores:
         return df
     return df.repartition(cores, key)
 
