@@ -2,7 +2,8 @@
 
 Equal word sets are collapsed first, so a group of copies of any size costs one
 row. Near copies use a prefix filter: sets with Jaccard similarity >= t must
-share one of the first |x| - ceil(t|x|) + 1 tokens in any fixed token order.
+share one of the first |x| - ceil(t|x|) + 1 tokens in any fixed token order
+(Xiao et al. 2008); positions of the shared token rule out most other pairs.
 Within a token's posting list each set is first compared with the list's lowest
 id only, which is linear. Later rounds look only at posting lists that still
 hold several clusters, so a large cluster is never paired with itself.
@@ -17,8 +18,8 @@ from pagelens.functions.text import blank_words
 from pagelens.operators.skew import HOT_ROWS, lookup
 from pagelens.session import spread, use_checkpoints
 
-# Sizes of the frequency tiers that order tokens; part of a plan literal, so bounded by design.
-TIERS = (64, 1024, 8192)
+# Number of hash buckets in the token frequency table: one byte each, so its size is fixed.
+BUCKETS = 1 << 18
 PAIR_BLOCK = 4096
 
 
@@ -101,32 +102,36 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     return nodes.union(roots)
 
 
-def _tiers(sets: DataFrame) -> list[Column]:
-    """Token lists from most to least frequent, as constant arrays of bounded size."""
-    counts = sets.select(F.explode("words").alias("w")).groupBy("w").count()
-    top = counts.orderBy(F.desc("count"), "w").limit(sum(TIERS)).select("w").collect()
-    names, out, start = [r["w"] for r in top], [], 0
-    for size in TIERS:
-        part = names[start : start + size]
-        out.append(F.split(F.lit("\u0001".join(part)), "\u0001", -1) if part else F.array().cast("array<string>"))
-        start += size
+def _frequency_bytes(sets: DataFrame) -> bytearray:
+    """One byte per hash bucket: four times the binary log of the documents that hold a token of it.
+
+    At most BUCKETS rows reach the driver, whatever the corpus.
+    """
+    bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
+    counts = sets.select(F.explode("words").alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
+    out = bytearray(BUCKETS)
+    for row in counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(255)).alias("v")).collect():
+        out[row["b"]] = int(row["v"])
     return out
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
-    """(token, id, size): the prefix tokens of each set, rare tokens first."""
-    tiers = _tiers(sets)
-    rest = F.col("words")
-    parts = []
-    for tier in tiers:
-        parts.insert(0, F.array_intersect("words", tier))
-        rest = F.array_except(rest, tier)
-    ordered = F.concat(rest, *parts)
+    """(token, pos, id, size): the prefix tokens of each set, rare tokens first.
+
+    The order only has to be the same for all sets; the frequency table makes it
+    rare-first, so that common tokens almost never become join keys.
+    """
+    table = F.lit(_frequency_bytes(sets))
     size = F.size("words")
     length = size - F.ceil(F.lit(threshold) * size - F.lit(1e-9)).cast("int") + 1
-    return sets.select("id", size.alias("size"), F.slice(ordered, 1, length).alias("prefix")).select(
-        F.explode("prefix").alias("token"), "id", "size"
-    )
+
+    def weighed(w: Column) -> Column:
+        bucket = F.pmod(F.xxhash64(w), F.lit(BUCKETS)).cast("int")
+        return F.struct(F.substring(table, bucket + 1, 1).alias("f"), w.alias("w"))
+
+    ordered = F.sort_array(F.transform("words", weighed))
+    prefix = F.transform(F.slice(ordered, 1, length), lambda x: x["w"])
+    return sets.select("id", size.alias("size"), F.posexplode_outer(prefix).alias("pos", "token"))
 
 
 def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, hot_rows: int) -> DataFrame:
@@ -140,9 +145,16 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, hot_rows: int)
     ).select("a", "b", "similarity")
 
 
-def _size_test(threshold: float, x: str, y: str) -> Column:
-    """Sets can only reach the threshold when their sizes are close enough."""
-    return F.least(x, y) >= F.lit(threshold) * F.greatest(x, y) - F.lit(1e-9)
+def _can_match(threshold: float, size_a: str, pos_a: str, size_b: str, pos_b: str) -> Column:
+    """Whether two sets can still reach the threshold when they first meet at these prefix positions.
+
+    Similar sets always pass at their first shared token: sizes must be close, and the
+    tokens from there on must suffice for the overlap that the threshold asks for.
+    """
+    sizes = F.least(size_a, size_b) >= F.lit(threshold) * F.greatest(size_a, size_b) - F.lit(1e-9)
+    left = F.least(F.col(size_a) - F.col(pos_a), F.col(size_b) - F.col(pos_b))
+    need = F.lit(threshold / (1 + threshold)) * (F.col(size_a) + F.col(size_b)) - F.lit(1e-9)
+    return sizes & (left >= need)
 
 
 def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, block: int = PAIR_BLOCK) -> DataFrame:
@@ -153,12 +165,12 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
     """
     postings = _written(_prefixes(sets, threshold))
     heads = postings.groupBy("token").agg(
-        F.min(F.struct("id", "size")).alias("head"), F.count(F.lit(1)).alias("n")
+        F.min(F.struct("id", "size", "pos")).alias("head"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
     stars = (
         lookup(postings, heads, "token", hot_rows)
         .filter(F.col("id") != F.col("head.id"))
-        .filter(_size_test(threshold, "size", "head.size"))
+        .filter(_can_match(threshold, "size", "pos", "head.size", "head.pos"))
         .select(F.col("head.id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
@@ -166,7 +178,7 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
     labels = components(first, hot_rows)
     tagged = _written(
         postings.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
-            "token", "id", "size", F.coalesce("label", "id").alias("label")
+            "token", "pos", "id", "size", F.coalesce("label", "id").alias("label")
         )
     )
     # Posting lists of a single cluster need no further comparison.
@@ -181,16 +193,16 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
     cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
     left = rows.select(
-        "token", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("label").alias("la"), cell.alias("i"),
-        every.alias("j"),
+        "token", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"),
+        F.col("label").alias("la"), cell.alias("i"), every.alias("j"),
     )
     right = rows.select(
-        "token", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("label").alias("lb"), every.alias("i"),
-        cell.alias("j"),
+        "token", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"),
+        F.col("label").alias("lb"), every.alias("i"), cell.alias("j"),
     )
     cross = (
         left.join(right, ["token", "i", "j"])
-        .filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _size_test(threshold, "sa", "sb"))
+        .filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _can_match(threshold, "sa", "pa", "sb", "pb"))
         .select("a", "b")
         .distinct()
     )
