@@ -26,7 +26,7 @@ NAMED = (
     ("&gt;", ">"),
     ("&quot;", '"'),
     ("&apos;", "'"),
-    ("&nbsp;", " "),
+    ("&nbsp;", "\u00a0"),
     ("&copy;", "©"),
     ("&reg;", "®"),
     ("&middot;", "·"),

@@ -72,19 +72,27 @@ class FilterSpec:
         return out
 
     def column(self) -> Column:
-        """The conjunction. Missing counts and scores are 0; a missing category equals nothing."""
+        """The conjunction. Missing counts and scores are 0; a missing category equals nothing.
+
+        Tests are bare comparisons, so that they reach the Parquet scan; a bound that
+        admits 0 admits missing values too.
+        """
         v = self.values
-        words = F.coalesce("word_count", F.lit(0))
-        score = F.coalesce("quality_score", F.lit(0.0))
+
+        def bounded(name: str, bound: float, at_least: bool) -> Column:
+            c = F.col(name)
+            test = c >= bound if at_least else c <= bound
+            return test | c.isNull() if (0 >= bound if at_least else 0 <= bound) else test
+
         tests = {
             "status": lambda x: F.col("status") == x,
             "engine_type": lambda x: F.col("engine") == x,
-            "category": lambda x: F.coalesce(F.col("category") == x, F.lit(False)),
-            "min_quality_score": lambda x: score >= x,
-            "max_quality_score": lambda x: score <= x,
-            "min_word_count": lambda x: words >= x,
-            "max_word_count": lambda x: words <= x,
-            "has_errors": lambda x: F.col("error").isNotNull() == F.lit(x),
+            "category": lambda x: F.col("category") == x,
+            "min_quality_score": lambda x: bounded("quality_score", x, True),
+            "max_quality_score": lambda x: bounded("quality_score", x, False),
+            "min_word_count": lambda x: bounded("word_count", x, True),
+            "max_word_count": lambda x: bounded("word_count", x, False),
+            "has_errors": lambda x: F.col("error").isNotNull() if x else F.col("error").isNull(),
             "start_date": lambda x: in_date_range(F.col("scraped_at"), x, None),
             "end_date": lambda x: in_date_range(F.col("scraped_at"), None, x),
         }

@@ -90,7 +90,7 @@ def response_score(response: Column) -> Column:
     lines = F.filter(F.split(response, "\n", -1), lambda s: _has(s, "score") & s.rlike("[0-9]"))
     return let(
         F.regexp_extract(_last(lines), r"([0-9]+(?:\.[0-9]+)?)", 1).try_cast("double"),
-        lambda x: F.when(x <= 10, x / 10).otherwise(F.least(x / 100, F.lit(1.0))),
+        lambda x: F.when(x <= 10, x / 10).when(x > 10, F.least(x / 100, F.lit(1.0))),
     )
 
 

@@ -563,7 +563,7 @@ _RESPONSE = """m AS (SELECT conv_id, turn, text, (length(text) % 3) AS k, (lengt
         WHERE contains(lower(s), 'topic') OR contains(lower(s), 'theme') OR contains(s, '-') OR contains(s, '•')),
     k AS (SELECT *, row_number() OVER (PARTITION BY conv_id, turn ORDER BY i) AS n FROM t WHERE topic <> ''),
     g AS (SELECT conv_id, turn, string_agg(topic, ' | ' ORDER BY i) AS topics FROM k WHERE n <= 5 GROUP BY ALL)
-    SELECT conv_id, turn, sentiment, confidence, CASE WHEN x <= 10 THEN x / 10::DOUBLE ELSE least(x / 100::DOUBLE, 1.0::DOUBLE) END
+    SELECT conv_id, turn, sentiment, confidence, CASE WHEN x <= 10 THEN x / 10::DOUBLE WHEN x > 10 THEN least(x / 100::DOUBLE, 1.0::DOUBLE) END
         AS quality_score, coalesce(topics, '') AS topics FROM a LEFT JOIN g USING (conv_id, turn)""",
 )
 def response_parsing(spark, sf):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from pyspark.sql import Column, DataFrame, Observation
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.checks import clean_name, preview
@@ -227,25 +227,32 @@ def metric_rows(metrics: DataFrame) -> DataFrame:
     return metrics.select("category", F.explode_outer("metrics").alias("metric", "value")).filter("metric IS NOT NULL")
 
 
+def written_rows(spark: SparkSession, fmt: str, path: str) -> int:
+    """Rows of a written export, counted from its files: footers for Parquet, lines for JSON and text."""
+    if fmt == "parquet":
+        return spark.read.parquet(path).count()
+    if fmt == "csv":
+        return spark.read.csv(path, header=True, multiLine=True, escape='"').count()
+    return spark.read.text(path).count()
+
+
 def export_table(
     df: DataFrame, fmt: str, path: str, export_id: str, as_of: datetime, metadata: dict[str, str] | None = None,
     job_id: str | None = None,
 ) -> DataFrame:
     """Write a table with a one-row manifest and return the export log row.
 
-    The record count is observed during the write, so the data is computed once.
+    The record count comes from the written files, so the data is computed once.
     A failed write gives a log row with the error instead of an exception.
     """
     spark = df.sparkSession
-    seen = Observation()
     status, error, count, size = "completed", None, 0, 0
     try:
         if fmt not in FORMATS:
             raise ValueError(f"Unsupported format: {fmt}")
-        out = df.observe(seen, F.count(F.lit(1)).alias("n"))
-        writer = out.write.option("header", True) if fmt == "csv" else out.write
+        writer = df.write.option("header", True).option("escape", '"') if fmt == "csv" else df.write
         writer.format(fmt).save(f"{path}/data")
-        count = int(seen.get["n"])
+        count = written_rows(spark, fmt, f"{path}/data")
         spark.createDataFrame(
             [(metadata or {}, as_of.isoformat(), count)],
             "metadata map<string,string>, export_time string, record_count bigint",
