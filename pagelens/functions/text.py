@@ -127,6 +127,12 @@ def ratio(num: Column, den: Column) -> Column:
     return F.when(den > 0, num.cast("double") / den.cast("double")).otherwise(F.lit(0.0))
 
 
+def rounded(col: Column, places: int) -> Column:
+    """Half-up rounding by plain double arithmetic, so that any engine gives the same value."""
+    scale = F.lit(10.0**places)
+    return F.floor(col.cast("double") * scale + F.lit(0.5)).cast("double") / scale
+
+
 def add_statistics(df: DataFrame, text: str, stop_words: Sequence[str], title: str | None = None) -> DataFrame:
     """Statistics of the cleaned text; paragraphs are counted on the raw text,
     with the parity count (always one after cleaning) beside it."""

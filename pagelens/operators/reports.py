@@ -14,6 +14,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from pagelens.functions.quality import four_level
+from pagelens.functions.text import rounded
 from pagelens.operators.skew import numbered
 
 
@@ -108,7 +109,7 @@ def report_overview(cube: DataFrame) -> DataFrame:
             F.sum("words").alias("total_words"),
             F.max_by("category", F.struct("n", -F.col("first_id"))).alias("most_common_category"),
         )
-        .withColumn("avg_words", F.round(F.col("total_words") / F.col("total_results"), 1))
+        .withColumn("avg_words", rounded(F.col("total_words") / F.col("total_results"), 1))
     )
 
 
@@ -116,7 +117,7 @@ def distribution(df: DataFrame, column: str) -> DataFrame:
     """Counts per value with their share of the total in percent."""
     counts = df.groupBy(F.col(column).alias("value")).agg(F.count(F.lit(1)).alias("n"))
     total = df.select(F.count(F.lit(1)).cast("double").alias("t"))
-    return counts.withColumn("percent", F.round(F.col("n") * 100.0 / total.scalar(), 1)).orderBy(F.desc("n"), "value")
+    return counts.withColumn("percent", rounded(F.col("n") * 100.0 / total.scalar(), 1)).orderBy(F.desc("n"), "value")
 
 
 def histogram(df: DataFrame, column: str, bins: int = 10) -> DataFrame:
@@ -164,7 +165,7 @@ def job_insight(cube: DataFrame, job_id: str | Column) -> DataFrame:
         ranked = counts.withColumn("ord", F.row_number().over(W.orderBy(F.desc("n"), "first_id")))
         if k:
             ranked = ranked.filter(F.col("ord") <= k)
-        percent = F.round(F.col("n") * 100.0 / pages, 1)
+        percent = rounded(F.col("n") * 100.0 / pages, 1)
         line = F.concat(F.col(kind), F.lit(": "), F.col("n").cast("string"), F.lit(" pages, "), percent.cast("string"), F.lit("%"))
         return ranked.select(F.lit(section).cast("bigint").alias("section"), F.col("ord").cast("bigint").alias("ord"), line.alias("line"))
 

@@ -12,6 +12,7 @@ from pagelens import seeds
 from pagelens.functions import checks, quality
 from pagelens.operators import reports as rp
 from pagelens.operators import retention as rt
+from pagelens.functions.text import rounded
 from pagelens.operators.filters import FilterSpec
 from pagelens.plans import parameters as P
 from pagelens.plans import sql as S
@@ -190,7 +191,7 @@ def job_distributions(spark, sf):
     "report_overview",
     "A4 S14 W8",
     f"""WITH {S.ENRICHED}, c AS (SELECT job_id, category, count(*) AS n, min(content_id) AS f FROM content GROUP BY ALL)
-    SELECT job_id, count(*) AS total_results, sum(word_count)::BIGINT AS total_words, round(sum(word_count)::DOUBLE / count(*), 1) AS avg_words,
+    SELECT job_id, count(*) AS total_results, sum(word_count)::BIGINT AS total_words, {S.rounded('sum(word_count)::DOUBLE / count(*)', 1)} AS avg_words,
         any_value(best) AS most_common_category FROM content JOIN (SELECT job_id, arg_max(category, (n, -f)) AS best FROM c GROUP BY 1) USING (job_id)
     GROUP BY job_id""",
 )
@@ -201,13 +202,13 @@ def report_overview(spark, sf):
 @ENTRIES.add(
     "first_results",
     "S14 W4 W6",
-    f"""WITH {S.ENRICHED}, r AS (SELECT job_id, content_id, url, word_count, round(quality_score, 2) AS quality,
+    f"""WITH {S.ENRICHED}, r AS (SELECT job_id, content_id, url, word_count, {S.rounded('quality_score', 2)} AS quality,
         row_number() OVER (PARTITION BY job_id ORDER BY content_id) AS position FROM content) SELECT * FROM r WHERE position <= 10""",
 )
 def first_results(spark, sf):
     k = F.row_number().over(W.partitionBy("job_id").orderBy("content_id")).cast("bigint")
     rows = content(spark, sf).select(
-        "job_id", "content_id", "url", "word_count", F.round("quality_score", 2).alias("quality")
+        "job_id", "content_id", "url", "word_count", rounded(F.col("quality_score"), 2).alias("quality")
     )
     return rows.withColumn("position", k).filter(F.col("position") <= 10)
 
@@ -231,8 +232,7 @@ for _column in ("category", "sentiment"):
     ENTRIES.add(
         f"{_column}_distribution",
         "A5 W5",
-        f"""WITH {S.ENRICHED} SELECT {_column} AS value, count(*) AS n, round(count(*) * 100.0::DOUBLE /
-            (SELECT count(*) FROM content)::DOUBLE, 1) AS percent FROM content GROUP BY 1""",
+        f"""WITH {S.ENRICHED} SELECT {_column} AS value, count(*) AS n, {S.rounded('count(*) * 100.0::DOUBLE / (SELECT count(*) FROM content)::DOUBLE', 1)} AS percent FROM content GROUP BY 1""",
     )(_distribution)
 
 
@@ -250,7 +250,7 @@ def quality_histogram(spark, sf):
 @ENTRIES.add(
     "words_vs_quality",
     "A7 S11",
-    f"""WITH {S.ENRICHED} SELECT url, title, word_count, category, sentiment, round(quality_score, 3) AS quality_score,
+    f"""WITH {S.ENRICHED} SELECT url, title, word_count, category, sentiment, {S.rounded('quality_score', 3)} AS quality_score,
         CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, md5(content) AS content_md5 FROM content""",
 )
 def words_vs_quality(spark, sf):
@@ -261,7 +261,7 @@ def words_vs_quality(spark, sf):
         F.col("Word Count").alias("word_count"),
         F.col("Category").alias("category"),
         F.col("Sentiment").alias("sentiment"),
-        F.round("Quality Score", 3).alias("quality_score"),
+        rounded(F.col("Quality Score"), 3).alias("quality_score"),
         F.col("Status").alias("status"),
         F.md5("Full Content").alias("content_md5"),
     )
@@ -276,7 +276,7 @@ def latest_job(spark, sf):
 
 
 def _insight_shares(kind: str, section: int, limit: str) -> str:
-    return f"""SELECT {section}::BIGINT, k, v || ': ' || n || ' pages, ' || round(n * 100.0::DOUBLE / pages, 1) || '%' FROM
+    return f"""SELECT {section}::BIGINT, k, v || ': ' || n || ' pages, ' || {S.rounded('n * 100.0::DOUBLE / pages', 1)} || '%' FROM
         (SELECT {kind} AS v, count(*) AS n, row_number() OVER (ORDER BY count(*) DESC, min(content_id)) AS k FROM one GROUP BY 1), t {limit}"""
 
 
@@ -593,13 +593,13 @@ def csv_export(spark, sf):
     f"""WITH {S.ENRICHED}, {S.JOBS}, b AS (SELECT job_id, count(*) AS pages, sum(word_count)::BIGINT AS words, sum(quality_score) AS q FROM content GROUP BY 1),
     s AS (SELECT * FROM jobs JOIN b USING (job_id)), h AS (SELECT job_id, unnest(['CONTENT ANALYSIS REPORT', 'Job ID: ' || job_id, 'Status: ' || status,
         'Total URLs: ' || total_urls, 'Processed: ' || processed_urls, 'Duration in seconds: ' || duration]) AS line, unnest(range(0, 6)) AS part FROM s),
-    u AS (SELECT job_id, unnest(['Total Word Count: ' || words, 'Average Words per Page: ' || (words // pages), 'Average Quality Score: ' || round(q / pages, 2)]) AS line,
+    u AS (SELECT job_id, unnest(['Total Word Count: ' || words, 'Average Words per Page: ' || (words // pages), 'Average Quality Score: ' || {S.rounded('q / pages', 2)}]) AS line,
         unnest(range(0, 3)) AS part FROM s),
     c AS (SELECT job_id, category, count(*) AS k, row_number() OVER (PARTITION BY job_id ORDER BY count(*) DESC, min(content_id)) AS n FROM content GROUP BY job_id, category),
     r AS (SELECT job_id, content_id AS n, unnest([title, '   URL: ' || url, '   Words: ' || word_count, '   Category: ' || category,
-        '   Sentiment: ' || sentiment, '   Quality: ' || round(quality_score, 2), '   Full Content: ' || content]) AS line, unnest(range(0, 7)) AS part FROM content)
+        '   Sentiment: ' || sentiment, '   Quality: ' || {S.rounded('quality_score', 2)}, '   Full Content: ' || content]) AS line, unnest(range(0, 7)) AS part FROM content)
     SELECT job_id, 1::BIGINT AS section, 0::BIGINT AS n, part, line FROM h UNION ALL SELECT job_id, 2, 0, part, line FROM u
-    UNION ALL SELECT c.job_id, 3, n, 0, category || ': ' || k || ' pages, ' || round(k * 100.0::DOUBLE / pages, 1) || '%' FROM c JOIN b USING (job_id)
+    UNION ALL SELECT c.job_id, 3, n, 0, category || ': ' || k || ' pages, ' || {S.rounded('k * 100.0::DOUBLE / pages', 1)} || '%' FROM c JOIN b USING (job_id)
     UNION ALL SELECT job_id, 4, n, part, line FROM r""",
 )
 def text_report(spark, sf):

@@ -67,6 +67,10 @@ def syllables(list_sql: str) -> str:
     return f"coalesce(list_sum(list_transform({list_sql}, lambda w: {one})), 0)::BIGINT"
 
 
+def rounded(x: str, places: int) -> str:
+    return f"(floor(({x})::DOUBLE * {10**places}::DOUBLE + 0.5::DOUBLE) / {10**places}::DOUBLE)"
+
+
 def ratio(a: str, b: str) -> str:
     return f"CASE WHEN {b} > 0 THEN ({a})::DOUBLE / ({b})::DOUBLE ELSE 0.0::DOUBLE END"
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pagelens.functions.checks import clean_name, preview
+from pagelens.functions.text import rounded
 
 FORMATS = ("json", "csv", "parquet", "text")
 NO_DATA = "No data available"
@@ -172,12 +173,12 @@ def report_lines(jobs: DataFrame, cube: DataFrame, content: DataFrame) -> DataFr
         [
             text("Total Word Count: ", F.col("words")),
             text("Average Words per Page: ", F.floor(F.col("words") / F.col("pages"))),
-            text("Average Quality Score: ", F.round(F.col("q") / F.col("pages"), 2)),
+            text("Average Quality Score: ", rounded(F.col("q") / F.col("pages"), 2)),
         ],
     )
     counts = cube.groupBy("job_id", "category").agg(F.sum("n").alias("k"), F.min("first_id").alias("first_id"))
     shares = counts.join(stats.select("job_id", "pages"), "job_id")
-    percent = F.round(F.col("k") * 100.0 / F.col("pages"), 1)
+    percent = rounded(F.col("k") * 100.0 / F.col("pages"), 1)
     # Larger counts first, then first seen: the sort key is packed into one number per job.
     categories = lines(
         shares.withColumn("rank", F.row_number().over(_category_order())),
@@ -195,7 +196,7 @@ def report_lines(jobs: DataFrame, cube: DataFrame, content: DataFrame) -> DataFr
             text("   Words: ", F.col("word_count")),
             text("   Category: ", F.col("category")),
             text("   Sentiment: ", F.col("sentiment")),
-            text("   Quality: ", F.round("quality_score", 2)),
+            text("   Quality: ", rounded(F.col("quality_score"), 2)),
             text("   Full Content: ", F.col("content")),
         ],
     )
