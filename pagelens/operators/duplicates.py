@@ -11,12 +11,13 @@ hold several clusters, so a large cluster is never paired with itself.
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pagelens.functions.text import blank_words
 from pagelens.operators.skew import HOT_ROWS, lookup
-from pagelens.session import spread, use_checkpoints
+from pagelens.session import scratch_path, spread, use_checkpoints
 
 # Number of hash buckets in the token frequency table: one byte each, so its size is fixed.
 BUCKETS = 1 << 18
@@ -58,7 +59,18 @@ def exact_groups(df: DataFrame, key: str, text: str) -> DataFrame:
 
 
 def _written(df: DataFrame) -> DataFrame:
-    """Cut lineage in reliable storage; survives the loss of any executor."""
+    """Cut lineage with a table in the shared folder; survives the loss of any executor.
+
+    For wide or often read steps: later reads are columnar and pruned, and the known
+    size lets a join with a small table skip its shuffle.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def _cut(df: DataFrame) -> DataFrame:
+    """Cut lineage with a reliable checkpoint: for pairs and edges, read whole once or twice."""
     use_checkpoints(df.sparkSession)
     return df.checkpoint()
 
@@ -70,7 +82,7 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     edge set stops changing; the number of rounds is logarithmic in practice and
     not capped. Hub nodes are handled by `lookup`.
     """
-    current = _written(
+    current = _cut(
         edges.select(F.greatest("a", "b").alias("hi"), F.least("a", "b").alias("lo")).filter("hi <> lo").distinct()
     )
 
@@ -78,21 +90,21 @@ def components(edges: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
         row = df.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("hi", "lo"))).first()
         return tuple(row)
 
-    def star(both: DataFrame) -> DataFrame:
+    def star(both: DataFrame, rows: int) -> DataFrame:
         """Attach to each (u, v) the lowest of u and its listed neighbours."""
         low = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"), F.count(F.lit(1)).alias("n"))
-        return lookup(both, low, "u", hot_rows)
+        return lookup(both, low, "u", hot_rows, rows)
 
     mark = fingerprint(current)
     while True:
         both = current.select(F.col("hi").alias("u"), F.col("lo").alias("v")).union(current.select("lo", "hi"))
-        large = _written(
-            star(both).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
+        large = _cut(
+            star(both, 2 * mark[0]).filter("v > u").select(F.col("v").alias("hi"), F.col("m").alias("lo")).filter("hi <> lo").distinct()
         )
         down = large.select(F.col("hi").alias("u"), F.col("lo").alias("v"))
-        linked = star(down)
+        linked = star(down, 2 * mark[0])
         small = linked.select(F.col("v").alias("hi"), F.col("m").alias("lo")).union(linked.select("u", "m"))
-        current = _written(small.filter("hi <> lo").distinct())
+        current = _cut(small.filter("hi <> lo").distinct())
         now = fingerprint(current)
         if now == mark:
             break
@@ -109,10 +121,10 @@ def _frequency_bytes(sets: DataFrame) -> bytearray:
     """
     bucket = F.pmod(F.xxhash64("w"), F.lit(BUCKETS)).cast("int")
     counts = sets.select(F.explode("words").alias("w")).groupBy(bucket.alias("b")).agg(F.count(F.lit(1)).alias("n"))
-    out = bytearray(BUCKETS)
-    for row in counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(255)).alias("v")).collect():
-        out[row["b"]] = int(row["v"])
-    return out
+    rows = counts.select("b", F.least(F.floor(F.log2("n") * 4), F.lit(255)).cast("int").alias("v")).toArrow()
+    out = np.zeros(BUCKETS, dtype=np.uint8)
+    out[rows["b"].to_numpy()] = rows["v"].to_numpy()
+    return bytearray(out.tobytes())
 
 
 def _prefixes(sets: DataFrame, threshold: float) -> DataFrame:
@@ -138,7 +150,7 @@ def _similar(pairs: DataFrame, sets: DataFrame, threshold: float, hot_rows: int)
     """Keep candidate pairs (a, b) that reach the threshold; `a` may be a hub."""
     counted = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n"))
     heads = counted.join(sets.select(F.col("id").alias("a"), F.col("words").alias("wa")), "a")
-    with_a = lookup(pairs, heads, "a", hot_rows)
+    with_a = lookup(pairs, heads, "a", hot_rows, pairs.count())
     full = with_a.join(sets.select(F.col("id").alias("b"), F.col("words").alias("wb")), "b")
     return full.withColumn("similarity", jaccard(F.col("wa"), F.col("wb"))).filter(
         F.col("similarity") >= threshold
@@ -164,17 +176,18 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
     without listing the pairs inside a cluster.
     """
     postings = _written(_prefixes(sets, threshold))
+    n_postings = postings.count()
     heads = postings.groupBy("token").agg(
         F.min(F.struct("id", "size", "pos")).alias("head"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
     stars = (
-        lookup(postings, heads, "token", hot_rows)
+        lookup(postings, heads, "token", hot_rows, n_postings)
         .filter(F.col("id") != F.col("head.id"))
         .filter(_can_match(threshold, "size", "pos", "head.size", "head.pos"))
         .select(F.col("head.id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
-    first = _written(_similar(_written(stars), sets, threshold, hot_rows))
+    first = _cut(_similar(_cut(stars), sets, threshold, hot_rows))
     labels = components(first, hot_rows)
     tagged = _written(
         postings.join(labels.withColumnRenamed("node", "id"), "id", "left").select(
@@ -188,7 +201,7 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
         .filter("x <> y")
         .select("token", "n", F.ceil(F.col("n") / block).cast("int").alias("cells"))
     )
-    rows = _written(lookup(tagged, open_lists, "token", hot_rows))
+    rows = _written(lookup(tagged, open_lists, "token", hot_rows, n_postings))
     # Long lists are cut into a grid of cells, so no task holds more than block x block comparisons.
     cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
     every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
@@ -206,8 +219,8 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
         .select("a", "b")
         .distinct()
     )
-    second = _similar(_written(cross), sets, threshold, hot_rows)
-    return _written(first.union(second))
+    second = _similar(_cut(cross), sets, threshold, hot_rows)
+    return _cut(first.union(second))
 
 
 def clusters(
@@ -232,7 +245,9 @@ def clusters(
     keepers = reps.join(labels.withColumnRenamed("node", "rep"), "rep", "left").select(
         "sig", F.coalesce("label", "rep").alias("keeper"), "n"
     )
-    with_words = lookup(hashed.filter(F.size("words") > 0).select("id", "sig"), keepers, "sig", hot_rows)
+    with_words = lookup(
+        hashed.filter(F.size("words") > 0).select("id", "sig"), keepers, "sig", hot_rows, hashed.count()
+    )
     alone = hashed.filter(F.size("words") == 0).select("id", F.col("id").alias("keeper"))
     return with_words.select("id", "keeper").union(alone)
 
@@ -247,7 +262,7 @@ def duplicate_rows(
     df: DataFrame, key: str, text: str, assigned: DataFrame, threshold: float = 0.8, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """M8: one row per duplicate against its keeper, with both similarities and the decision."""
-    pairs = _written(assigned.filter("id <> keeper").select(F.col("keeper").alias("content1_id"), F.col("id").alias("content2_id")))
+    pairs = _cut(assigned.filter("id <> keeper").select(F.col("keeper").alias("content1_id"), F.col("id").alias("content2_id")))
     return score_pairs(pairs, df, key, text, threshold, hot_rows)
 
 
@@ -261,7 +276,7 @@ def score_pairs(
         .agg(F.count(F.lit(1)).alias("n"))
         .join(words.select(F.col("id").alias("content1_id"), F.col("t").alias("t1")), "content1_id")
     )
-    full = lookup(pairs, heads, "content1_id", hot_rows).join(
+    full = lookup(pairs, heads, "content1_id", hot_rows, pairs.count()).join(
         words.select(F.col("id").alias("content2_id"), F.col("t").alias("t2")), "content2_id"
     )
     full = full.withColumns({"w1": word_set(F.col("t1")), "w2": word_set(F.col("t2"))})

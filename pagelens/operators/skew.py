@@ -13,15 +13,21 @@ HOT_KEYS_MAX = 100_000
 BLOCK_WIDTH = 1 << 20
 
 
-def lookup(left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS) -> DataFrame:
+def lookup(
+    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, left_rows: int | None = None
+) -> DataFrame:
     """Inner join of `left` with one row per key; `right.n` is the number of left rows of its key.
 
+    With `left_rows` known and within `hot_rows` no key can be hot, so the plain join is used.
+
     Keys over `hot_rows` are few (at most rows / hot_rows), so their rows are
     broadcast and the hot part of `left` is never shuffled. All other keys are
     small by definition and use a plain shuffle join. Should the hot keys
     outgrow the checked bound, the shuffle join with runtime skew splitting
     takes over. Both inputs should be cheap to read twice (written or checkpointed).
     """
+    if left_rows is not None and left_rows <= hot_rows:
+        return left.join(right.drop("n"), key)
     hot = right.filter(F.col("n") > hot_rows).drop("n")
     n_hot = hot.limit(HOT_KEYS_MAX + 1).count()
     plain = right.drop("n")
