@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from pagelens.functions.text import blank_words
 from pagelens.operators.skew import HOT_ROWS, lookup
-from pagelens.session import scratch_path, spread, use_checkpoints
+from pagelens.session import scratch_path, use_checkpoints
 
 # Number of hash buckets in the token frequency table: one byte each, so its size is fixed.
 BUCKETS = 1 << 18
@@ -231,7 +231,7 @@ def clusters(
     Documents are clustered when a chain of texts with Jaccard >= threshold joins
     them. Documents without words stay alone.
     """
-    words = spread(df.select(key, text), key).select(F.col(key).alias("id"), word_set(F.col(text)).alias("words"))
+    words = df.select(F.col(key).alias("id"), word_set(F.col(text)).alias("words"))
     # 128 bits: at 10^11 documents a 64-bit key would merge unrelated sets.
     hashed = _written(words.withColumn("sig", F.md5(F.array_join("words", " "))))
     reps = _written(

@@ -8,7 +8,7 @@ In-row forms serve short lists and need no shuffle at all.
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,41 +39,49 @@ def polarity_label(polarity: Column) -> Column:
     return F.when(polarity > 0.1, "positive").when(polarity < -0.1, "negative").otherwise("neutral")
 
 
-def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
-    """pos/neg/neu shares, compound, labels, polarity and subjectivity per document."""
-    lex = bounded_broadcast(lexicon)
-    hits = exploded(df, key, text).join(lex, "word", "left")
+def sentiment_sums() -> list[Column]:
+    """Aggregates over token rows with `word`, `valence`, `polarity` and `subjectivity`."""
     v = F.col("valence")
-    sums = hits.groupBy(key).agg(
+    return [
         F.coalesce(F.sum(v), F.lit(0.0)).alias("total"),
         F.coalesce(F.sum(F.when(v > 0, v + 1)), F.lit(0.0)).alias("up"),
         F.coalesce(F.sum(F.when(v < 0, 1 - v)), F.lit(0.0)).alias("down"),
         F.count(F.when(F.col("word").isNotNull() & (v.isNull() | (v == 0)), 1)).cast("double").alias("flat"),
         F.coalesce(F.avg("polarity"), F.lit(0.0)).alias("polarity"),
         F.coalesce(F.avg("subjectivity"), F.lit(0.0)).alias("subjectivity"),
-    )
+    ]
+
+
+def sentiment_columns() -> dict[str, Column]:
+    """N1-N3 from the sums of one document."""
     mass = F.col("up") + F.col("down") + F.col("flat")
+    compound = compound_score(F.col("total"))
 
     def share(name: str) -> Column:
         return F.when(mass > 0, F.col(name) / mass).otherwise(F.lit(0.0))
 
-    out = sums.select(
-        key,
-        share("up").alias("pos"),
-        share("down").alias("neg"),
-        share("flat").alias("neu"),
-        compound_score(F.col("total")).alias("compound"),
-        "polarity",
-        "subjectivity",
-    )
-    return out.withColumns(
-        {
-            "overall": overall_label(F.col("compound")),
-            "overall_strict": overall_label(F.col("compound"), strict=True),
-            "confidence": F.abs("compound"),
-            "polarity_label": polarity_label(F.col("polarity")),
-        }
-    )
+    return {
+        "pos": share("up"),
+        "neg": share("down"),
+        "neu": share("flat"),
+        "compound": compound,
+        "polarity": F.col("polarity"),
+        "subjectivity": F.col("subjectivity"),
+        "overall": overall_label(compound),
+        "overall_strict": overall_label(compound, strict=True),
+        "confidence": F.abs(compound),
+        "polarity_label": polarity_label(F.col("polarity")),
+    }
+
+
+def select_columns(df: DataFrame, key: str, columns: Mapping[str, Column]) -> DataFrame:
+    return df.select(key, *[c.alias(n) for n, c in columns.items()])
+
+
+def sentiment(df: DataFrame, key: str, text: str, lexicon: DataFrame) -> DataFrame:
+    """pos/neg/neu shares, compound, labels, polarity and subjectivity per document."""
+    hits = exploded(df, key, text).join(bounded_broadcast(lexicon), "word", "left")
+    return select_columns(hits.groupBy(key).agg(*sentiment_sums()), key, sentiment_columns())
 
 
 def add_compound(df: DataFrame, text: str, lexicon: Sequence[Sequence]) -> DataFrame:
@@ -111,43 +119,108 @@ def emotions(df: DataFrame, key: str, text: str, lexicon: Sequence[Sequence[str]
     ).select(key, "dominant", "confidence", "x.emotion", "x.share")
 
 
+def language_sums(names: Sequence[str], has: Callable[[str], Column]) -> list[Column]:
+    """Votes per profile; `has` tells whether a token row belongs to a profile."""
+    return [F.max("size").alias("size"), *[F.count(F.when(has(n), 1)).alias(f"votes_{n}") for n in names]]
+
+
+def language_columns(names: Sequence[str]) -> dict[str, Column]:
+    """N8 from the votes: first profile wins ties; no vote gives English at 0.5."""
+    best = F.greatest(*[F.col(f"votes_{n}") for n in names])
+    code = F.when(best == 0, "en")
+    for n in names:
+        code = code.when(F.col(f"votes_{n}") == best, n)
+    return {
+        "language": code,
+        "confidence": F.when(best == 0, F.lit(0.5)).when(F.col("size") > 100, F.lit(0.8)).otherwise(F.lit(0.6)),
+        "votes": best.cast("bigint"),
+        "is_english": code == "en",
+    }
+
+
 def language(df: DataFrame, key: str, text: str, profiles: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Vote of stop-word profiles; first profile wins ties; no vote gives English at 0.5."""
+    """Vote of stop-word profiles."""
     rows = [(w, lang) for lang, words in profiles.items() for w in words]
     lex = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, profile string"))
-    tokens_of = df.select(
-        key, F.length(text).alias("size"), F.explode_outer(tokens(F.col(text))).alias("word")
-    )
     names = list(profiles)
-    votes = tokens_of.join(lex, "word", "left").groupBy(key).agg(
-        F.max("size").alias("size"),
-        *[F.count(F.when(F.col("profile") == n, 1)).alias(f"n_{n}") for n in names],
-    )
-    best = F.greatest(*[F.col(f"n_{n}") for n in names])
-    code = F.when(best == 0, "en")
-    for n in names:
-        code = code.when(F.col(f"n_{n}") == best, n)
-    confidence = F.when(best == 0, F.lit(0.5)).when(F.col("size") > 100, F.lit(0.8)).otherwise(F.lit(0.6))
-    return votes.select(
-        key, code.alias("language"), confidence.alias("confidence"), best.cast("bigint").alias("votes")
-    ).withColumn("is_english", F.col("language") == "en")
+    hits = df.select(
+        key, F.length(text).alias("size"), F.explode_outer(tokens(F.col(text))).alias("word")
+    ).join(lex, "word", "left")
+    votes = hits.groupBy(key).agg(*language_sums(names, lambda n: F.col("profile") == n))
+    return select_columns(votes, key, language_columns(names))
+
+
+def category_sums(names: Sequence[str], has: Callable[[str], Column]) -> list[Column]:
+    return [F.count(F.when(has(c), 1)).cast("double").alias(f"hits_{c}") for c in names]
+
+
+def category_columns(names: Sequence[str]) -> dict[str, Column]:
+    """N9 from the hits: shares, argmax with first-wins ties, `general` without a hit."""
+    total = sum((F.col(f"hits_{c}") for c in names[1:]), F.col(f"hits_{names[0]}"))
+    shares = {c: F.when(total > 0, F.col(f"hits_{c}") / total).otherwise(F.lit(0.0)) for c in names}
+    most = F.greatest(*[F.col(f"hits_{c}") for c in names])
+    top = F.when(most == 0, "general")
+    for c in names:
+        top = top.when(F.col(f"hits_{c}") == most, c)
+    return {**shares, "predicted_category": top, "confidence": F.greatest(*shares.values())}
 
 
 def token_categories(df: DataFrame, key: str, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Share of keyword tokens per category, argmax with first-wins ties, `general` without a hit."""
+    """Share of keyword tokens per category with the best one."""
     rows = [(w, c) for c, words in lists.items() for w in dict.fromkeys(words)]
     lex = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, category string"))
     names = list(lists)
     hits = exploded(df, key, text).join(lex, "word", "left").groupBy(key).agg(
-        *[F.count(F.when(F.col("category") == c, 1)).cast("double").alias(c) for c in names]
+        *category_sums(names, lambda c: F.col("category") == c)
+    )
+    return select_columns(hits, key, category_columns(names))
+
+
+def list_analyses(
+    df: DataFrame,
+    key: str,
+    text: str,
+    lexicon: Sequence[Sequence],
+    profiles: Mapping[str, Sequence[str]],
+    categories: Mapping[str, Sequence[str]],
+) -> DataFrame:
+    """N1-N3, N8 and N9 together: one token pass, one broadcast list, one small shuffle.
+
+    The three lists become one, with a row per word, so that joining it never repeats a token.
+    """
+    merged: dict[str, list] = {}
+
+    def at(word: str) -> list:
+        return merged.setdefault(word, [word, None, None, None, [], []])
+
+    for word, *values in lexicon:
+        at(word)[1:4] = values
+    for i, groups in ((4, profiles), (5, categories)):
+        for name, words in groups.items():
+            for word in dict.fromkeys(words):
+                at(word)[i].append(name)
+    schema = (
+        "word string, valence double, polarity double, subjectivity double, profiles array<string>, "
+        "categories array<string>"
+    )
+    lex = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in merged.values()], schema))
+    hits = df.select(
+        key, F.length(text).alias("size"), F.explode_outer(tokens(F.col(text))).alias("word")
+    ).join(lex, "word", "left")
+    names, kinds = list(profiles), list(categories)
+    sums = hits.groupBy(key).agg(
+        *sentiment_sums(),
+        *language_sums(names, lambda n: F.array_contains("profiles", n)),
+        *category_sums(kinds, lambda c: F.array_contains("categories", c)),
+    )
+    packed = {
+        "sentiment": sentiment_columns(),
+        "language": language_columns(names),
+        "category": category_columns(kinds),
+    }
+    return sums.select(
+        key, *[F.struct(*[c.alias(n) for n, c in cols.items()]).alias(name) for name, cols in packed.items()]
     )
-    total = sum((F.col(c) for c in names[1:]), F.col(names[0]))
-    shares = hits.select(key, *[F.when(total > 0, F.col(c) / total).otherwise(F.lit(0.0)).alias(c) for c in names])
-    best = F.greatest(*[F.col(c) for c in names])
-    top = F.when(best == 0, "general")
-    for c in names:
-        top = top.when(F.col(c) == best, c)
-    return shares.withColumns({"predicted_category": top, "confidence": best})
 
 
 def add_substring_category(df: DataFrame, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:

@@ -110,7 +110,7 @@ _CLUSTERS = f"""sets AS (SELECT doc_id AS id, list_distinct({_WS}) AS w FROM doc
 
 @ENTRIES.add("duplicate_clusters", "M9 M10 J8", f"WITH RECURSIVE {_CLUSTERS} SELECT id, keeper FROM clusters")
 def duplicate_clusters(spark, sf):
-    return dup.clusters(tb.table(spark, sf, "documents"), "doc_id", "text", THRESHOLD)
+    return dup.clusters(docs(spark, sf), "doc_id", "text", THRESHOLD)
 
 
 @ENTRIES.add(
@@ -120,7 +120,7 @@ def duplicate_clusters(spark, sf):
 )
 def deduplicated_documents(spark, sf):
     d = tb.table(spark, sf, "documents")
-    return dup.keep_lowest(d, "doc_id", dup.clusters(d, "doc_id", "text", THRESHOLD)).select("doc_id", "lang", "n_chars")
+    return dup.keep_lowest(d, "doc_id", dup.clusters(docs(spark, sf), "doc_id", "text", THRESHOLD)).select("doc_id", "lang", "n_chars")
 
 
 @ENTRIES.add(
@@ -135,7 +135,7 @@ def deduplicated_documents(spark, sf):
 )
 def duplicate_rows(spark, sf):
     d = tb.table(spark, sf, "documents")
-    rows = dup.duplicate_rows(d, "doc_id", "text", dup.clusters(d, "doc_id", "text", THRESHOLD), THRESHOLD)
+    rows = dup.duplicate_rows(d, "doc_id", "text", dup.clusters(docs(spark, sf), "doc_id", "text", THRESHOLD), THRESHOLD)
     # Both sides of every duplicate meet their content row again.
     one = d.select(F.col("doc_id").alias("content1_id"), F.col("source").alias("source1"))
     two = d.select(F.col("doc_id").alias("content2_id"), F.col("source").alias("source2"))

@@ -12,7 +12,7 @@ from pagelens.functions.checks import analysis_guard
 from pagelens.functions.quality import display_quality
 from pagelens.functions.text import add_display_statistics, add_readability, add_statistics, clean_text
 from pagelens.operators import lexicon as lx
-from pagelens.operators.keywords import frequent_words
+from pagelens.operators.keywords import add_frequent_words
 from pagelens.session import spread
 from pagelens.sources.tables import content_base
 
@@ -40,7 +40,8 @@ def enriched(
     )
 
 
-STEPS = ("statistics", "sentiment", "language", "readability", "category", "keywords")
+STEPS = ("statistics", "readability", "keywords", "sentiment", "language", "category")
+LIST_STEPS = STEPS[3:]
 
 
 def analyse(
@@ -56,34 +57,32 @@ def analyse(
 ) -> DataFrame:
     """One row per document with a struct per requested step and an `error` for text too short.
 
-    Steps work on the cleaned text and are keyed by the document. Their small
-    results share one hash partitioning, so joining them adds no wide shuffle.
-    A document that a step gives nothing for has null there; it is never lost.
+    Statistics, readability and keywords are columns of one pass over the text. The
+    list-based steps share a second pass whose result is one small row per document,
+    joined by the document key. A document too short to analyse keeps its row.
     """
-    guarded = df.select(key, F.col(text).alias("raw"), analysis_guard(F.col(text)).alias("error"))
-    base = guarded.filter("error IS NULL").select(key, "raw", clean_text(F.col("raw")).alias("clean"))
-    out = guarded.select(key, "error")
+    out = df.select(key, F.col(text).alias("raw"), analysis_guard(F.col(text)).alias("error"))
+    long_enough = F.col("error").isNull()
+    kept = [key, "error"]
 
-    def pack(part: DataFrame, name: str) -> DataFrame:
-        return part.select(key, F.struct(*[c for c in part.columns if c != key]).alias(name))
+    def pack(part: DataFrame, name: str, before: list[str]) -> DataFrame:
+        """Turn the columns a step added into one struct, null for guarded documents."""
+        added = [c for c in part.columns if c not in before]
+        return part.select(*before, F.when(long_enough, F.struct(*added)).alias(name))
 
     if "statistics" in steps:
-        part = add_statistics(base.select(key, "raw"), "raw", stop_words).drop("raw")
-        out = out.join(pack(part, "statistics"), key, "left")
+        out = pack(add_statistics(out, "raw", stop_words), "statistics", ["raw", *kept])
+        kept.append("statistics")
     if "readability" in steps:
-        part = add_readability(base.select(key, "raw"), "raw").drop("raw")
-        out = out.join(pack(part, "readability"), key, "left")
-    if "sentiment" in steps:
-        rows = seeds.table(
-            df.sparkSession, sentiment, "word string, valence double, polarity double, subjectivity double"
-        )
-        out = out.join(pack(lx.sentiment(base, key, "clean", rows), "sentiment"), key, "left")
-    if "language" in steps:
-        out = out.join(pack(lx.language(base, key, "clean", profiles), "language"), key, "left")
-    if "category" in steps:
-        out = out.join(pack(lx.token_categories(base, key, "clean", categories), "category"), key, "left")
+        out = pack(add_readability(out, "raw"), "readability", ["raw", *kept])
+        kept.append("readability")
     if "keywords" in steps:
-        top = frequent_words(base.select(key, "raw"), key, "raw", stop_words)
-        lists = top.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("rank", "word", "n"))).alias("keywords"))
-        out = out.join(lists, key, "left")
-    return out
+        out = add_frequent_words(out, "raw", stop_words, "top")
+        out = out.select("raw", *kept, F.when(long_enough, F.col("top")).alias("keywords"))
+        kept.append("keywords")
+    lists = [s for s in steps if s in LIST_STEPS]
+    if lists:
+        base = df.select(key, clean_text(F.col(text)).alias("clean")).filter(analysis_guard(F.col(text)).isNull())
+        small = lx.list_analyses(base, key, "clean", sentiment, profiles, categories).select(key, *lists)
+        out = out.join(small, key, "left")
+    return out.select(*kept, *lists)

@@ -57,6 +57,7 @@ def spread(df: DataFrame, key: str) -> DataFrame:
 
     Text work is CPU bound, so a small single-row-group file would otherwise run
     in one task. Inputs with enough splits are returned untouched: no shuffle.
+    Meant for scans: counting the partitions of a plan with shuffles would run them.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     if df.rdd.getNumPartitions() >= cores:
