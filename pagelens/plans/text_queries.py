@@ -512,12 +512,12 @@ def model_inputs(spark, sf):
 @ENTRIES.add(
     "keyword_search",
     "P10",
-    """SELECT b.item_id, d.doc_id FROM documents d JOIN (SELECT item_id, trim(regexp_replace(left(text, 60), '[<>]', '', 'g'), ' ') AS q
-        FROM benchmark) b ON contains(lower(d.text), lower(b.q))""",
+    f"""SELECT b.item_id, d.doc_id FROM documents d JOIN (SELECT item_id,
+        regexp_replace(left({S.strip('text')}, 1000), '[<>]', '', 'g') AS q FROM benchmark) b ON contains(lower(d.text), lower(b.q))""",
 )
 def keyword_search(spark, sf):
-    # The opening of each benchmark passage is one search input; the list of inputs is read once and bounded.
-    items = table(spark, sf, "benchmark").select("item_id", F.trim(checks.clean_query(F.substring("text", 1, 60))).alias("q"))
+    # Each benchmark passage is one search input.
+    items = table(spark, sf, "benchmark").select("item_id", checks.clean_query(F.col("text")).alias("q"))
     return ri.search(docs(spark, sf), "doc_id", "text", items, "item_id", "q")
 
 
