@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import decontamination, near_duplicates, packing, token_codes
+from pagelens.llm import class_model, decontamination, near_duplicates, packing, token_codes
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -54,3 +54,9 @@ def packed(docs):
     return pieces.select(
         "doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset"
     )
+
+
+@ENTRIES.add("op10_class_model", "llm")
+def op10_class_model(spark, folder):
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
+    return class_model.score_texts(table(spark, folder, "documents"), "doc_id", "text", held_out)
