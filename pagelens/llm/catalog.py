@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import class_model, decontamination, near_duplicates, packing, token_codes
+from pagelens.llm import class_model, decontamination, near_duplicates, packing, quality_rules, token_codes, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -60,3 +60,34 @@ def packed(docs):
 def op10_class_model(spark, folder):
     held_out = F.crc32(F.col("doc_id").cast("string")) % 7 == 2
     return class_model.score_texts(table(spark, folder, "documents"), "doc_id", "text", held_out)
+
+
+@ENTRIES.add("op1_quality_rules", "llm", quality_rules.SQL)
+def op1_quality_rules(spark, folder):
+    out = quality_rules.judged(table(spark, folder, "documents").select("doc_id", "text"), "text")
+    return out.select(
+        "row.doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
+        F.array_join("failed", ",").alias("failed_rules"),
+    )
+
+
+def remainder(key, by):
+    return F.crc32(F.col(key).cast("string")) % by
+
+
+def toxicity_model(docs, labels):
+    """Labels of held-out documents are never read."""
+    return toxicity.train(docs, "doc_id", "text", labels.filter(remainder("doc_id", 3) != 1), "doc_id", "toxic")
+
+
+TOXIC_FROM = 0.7
+
+
+@ENTRIES.add("op4_toxicity", "llm")
+def op4_toxicity(spark, folder):
+    docs = table(spark, folder, "documents").select("doc_id", "text")
+    scored = toxicity.with_scores(docs, "text", toxicity_model(docs, table(spark, folder, "labels")))
+    return scored.select(
+        "row.doc_id", F.coalesce(remainder("row.doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
+    )
