@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import class_model, decontamination, near_duplicates, packing, quality_rules, token_codes, toxicity
+from pagelens.llm import class_model, decontamination, language_id, near_duplicates, packing, quality_rules, token_codes, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -91,3 +91,17 @@ def op4_toxicity(spark, folder):
         "row.doc_id", F.coalesce(remainder("row.doc_id", 3) == 1, F.lit(False)).alias("held_out"), "score",
         (F.col("score") >= TOXIC_FROM).cast("int").alias("predicted"),
     )
+
+
+@ENTRIES.add("op6_language_id", "llm")
+def op6_language_id(spark, folder):
+    html = F.col("html")
+    body = F.regexp_replace(F.regexp_replace(html, r"(?is)<(script|style)\b.*?</\1\s*>", " "), r"<[^>]*>", " ")
+    pages = table(spark, folder, "pages").select(
+        "page_id", body.alias("body"), language_id.markup_language(html).alias("declared"),
+        language_id.address_language(F.col("url")).alias("address"), language_id.address_host(F.col("url")).alias("host"),
+    )
+    found = language_id.identify(pages, "body", "declared", "address", "host")
+    return found.select(
+        "row.page_id", "row.host", "row.declared", "language", F.round("probability", 6).alias("probability"), "text_language", "accepted"
+    )
