@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import class_model, decontamination, language_id, near_duplicates, packing, quality_rules, token_codes, toxicity
+from pagelens.llm import class_model, decontamination, language_id, licenses, near_duplicates, packing, quality_rules, token_codes, tool_calls, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -105,3 +105,59 @@ def op6_language_id(spark, folder):
     return found.select(
         "row.page_id", "row.host", "row.declared", "language", F.round("probability", 6).alias("probability"), "text_language", "accepted"
     )
+
+
+#: Tools of the calls that `op5` reads into transcripts.
+TOOLS = {
+    "look_up": {
+        "type": "object", "required": ["query"], "additionalProperties": False,
+        "properties": {"query": {"type": "string"}, "limit": {"type": "integer", "minimum": 1, "maximum": 60}},
+    },
+    "summarise": {
+        "type": "object", "required": ["words", "style"],
+        "properties": {"words": {"type": "integer", "minimum": 1}, "style": {"enum": ["short", "long"]}},
+    },
+}
+
+
+def transcripts(conversations):
+    """Assistant turns read as tool calls that need the call before, user turns after them as results.
+
+    The given table has plain text only; names and arguments are made from each turn's own text.
+    """
+    text, turn = F.coalesce(F.col("text"), F.lit("")), F.col("turn")
+    words = F.size(F.split(text, r"\s+"))
+    call_id = lambda t: F.concat_ws("-", F.lit("call"), F.col("conv_id").cast("string"), t.cast("string"))
+    style = F.when(F.length(text) < 200, "short").when(F.length(text) < 2000, "long").otherwise("whole")
+    arguments = F.when(F.length(text) % 2 == 0, F.to_json(F.struct(words.alias("limit"), text.alias("query")))).otherwise(
+        F.to_json(F.struct(words.alias("words"), style.alias("style")))
+    )
+    name = F.when(F.length(text) % 2 == 0, "look_up").otherwise("summarise")
+    after = F.when(turn >= 2, F.array(call_id(turn - 2))).otherwise(F.array().cast("array<string>"))
+    call = F.struct(call_id(turn).alias("id"), name.alias("name"), arguments.alias("arguments"), after.alias("after"))
+    return conversations.select(
+        "conv_id", "turn", "role", "text",
+        F.when(F.col("role") == "assistant", F.array(call)).otherwise(F.array().cast(tool_calls.CALL)).alias("calls"),
+        F.when((F.col("role") == "user") & (turn > 0), call_id(turn - 1)).alias("result_of"),
+    )
+
+
+@ENTRIES.add("op5_tool_calls", "llm")
+def op5_tool_calls(spark, folder):
+    return tool_calls.link(transcripts(table(spark, folder, "conversations")), TOOLS)
+
+
+def as_files(docs):
+    """Documents as files of a source: two levels of directories, and texts that open with a licence line as licence files of the first."""
+    opens = F.coalesce(F.col("text").rlike(r"^[^\n]{0,40}[Ll]icen[cs]e"), F.lit(False))
+    name = F.when(opens, F.concat(F.lit("LICENSE."), F.col("doc_id").cast("string"))).otherwise(F.concat(F.col("doc_id").cast("string"), F.lit(".txt")))
+    folders = [F.floor(F.col("doc_id") / 400).cast("string"), F.floor(F.pmod("doc_id", F.lit(400)) / 20).cast("string")]
+    inner = F.concat_ws("/", F.lit(""), F.col("source"), *folders, name)
+    path = F.when(opens, F.concat_ws("/", F.lit(""), F.col("source"), folders[0], name)).otherwise(inner)
+    return docs.select("doc_id", path.alias("path"), "text")
+
+
+@ENTRIES.add("op7_licenses", "llm")
+def op7_licenses(spark, folder):
+    found = licenses.scan(as_files(table(spark, folder, "documents")), "path", "text")
+    return found.select("row.doc_id", "row.path", "license", F.round("score", 6).alias("score"), "how", "inherited_from")
