@@ -45,7 +45,7 @@ HEADER = struct.Struct("<4sIQQQ")
 WIDTH = 8
 RANK_BITS = 512
 #: Tokens of a file, unless one text has more; it bounds a task's memory.
-FILE_TOKENS = 8 << 20
+FILE_TOKENS = 4 << 20
 
 MANIFEST = "part bigint, nth bigint, path string, n_docs bigint, n_tokens bigint"
 
@@ -198,7 +198,8 @@ def read_files(manifest: DataFrame, key: str) -> DataFrame:
     """(key, start, n_tokens, ids as little-endian unsigned 32-bit integers) of every text, read from the files."""
     schema = _parse_datatype_string("key bigint, start bigint, n_tokens bigint, ids binary")
     arrow = to_arrow_schema(schema)
-    spread = manifest.select("path", "start").repartition(F.col("path"))
+    # A number given is kept: left alone, so few small rows would be read by one task.
+    spread = manifest.select("path", "start").repartition(int(manifest.sparkSession.conf.get("spark.sql.shuffle.partitions")), "path")
 
     def texts(path: str, start: int) -> Iterator[pa.RecordBatch]:
         file = TokenFile(path)
