@@ -39,7 +39,8 @@ SEED = 42
 BUCKET = 16
 HOT_ROWS = 10_000
 #: Shingles whose bits are counted at once: 64 bytes each.
-CHUNK = 1 << 18
+CHUNK = 1 << 17
+SLICE_BYTES = 4 << 20
 
 
 def shingle_bounds(words: Words, size: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -77,7 +78,7 @@ def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
     schema = packed.drop("text").schema.add("fingerprint", T.LongType())
 
     def run(batches):
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             prints = simhash(split_words(part.column("text"), LOWERED))
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(prints)], ["row", "fingerprint"])
 

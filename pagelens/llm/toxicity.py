@@ -10,8 +10,8 @@ ordinary text they cost the same to the byte, and a window that the toxic segmen
 Scoring cuts a text into windows of a few words, at several scales, and takes for each the difference
 between its two compressed lengths. A window without four bytes in common with a toxic segment cannot be
 shortened by it (zstandard matches four bytes or more here), so its difference is 0 without compressing.
-A text's largest difference becomes a probability by the labels of the calibration sample: the share
-of toxic texts at each difference, made monotone by pooling neighbours.
+The largest differences of a text at the scales are added and become a probability by the labels of the calibration sample: the share
+of toxic texts at each sum, made monotone by pooling neighbours.
 
 Only the text is looked at. Results for odd input: null, empty and wordless texts have no window and get the
 probability of difference 0; repeated rows are scored each; labels that are null are left out; without toxic or
@@ -39,6 +39,7 @@ SAMPLE_BYTES = 1 << 15
 WINDOW_WORDS = (5, 8, 13)
 TRAIN_WINDOW = 16
 LEVEL = 6
+SLICE_BYTES = 8 << 20
 ORDINARY_BYTES = 8 << 10
 NEAR_BYTES = 20_000
 TOXIC_BYTES = 64 << 10
@@ -46,7 +47,7 @@ TOXIC_BYTES = 64 << 10
 STEM = (4, 12)
 #: Least z score of a toxic segment, alone and as a share of the best segment's.
 LEAST_Z, SHARE_Z = 4.0, 1 / 3
-MOST_DIFFERENCE = 12
+MOST_DIFFERENCE = 24
 
 
 @dataclass
@@ -79,7 +80,10 @@ class Model:
         return {"ordinary": self.ordinary, "toxic": self.toxic, "chance": self.chance, "_tools": None}
 
     def differences(self, texts: pa.Array) -> np.ndarray:
-        """Each text's largest difference over all windows of all scales, 0 to MOST_DIFFERENCE."""
+        """Each text's largest difference of each scale, added up: 0 to MOST_DIFFERENCE.
+
+        A toxic word shortens a window of every scale, a chance match rarely more than one.
+        """
         words = split_words(texts, ALPHANUMERIC)
         n_texts = len(words.docs) - 1
         most = np.zeros(n_texts, dtype=np.int64)
@@ -98,13 +102,14 @@ class Model:
             text = owner[candidates]
             first = words.docs[text]
             begin = np.unique(first + (candidates - first) // scale * scale)
-            text = owner[begin]
+            text, own = owner[begin], np.zeros(n_texts, dtype=np.int64)
             last = np.minimum(begin + scale, words.docs[text + 1]) - 1
             for t, a, b in zip(text.tolist(), words.starts[begin].tolist(), ends[last].tolist()):
                 window = b" %b " % raw[a:b]
                 d = len(ordinary(window)) - len(toxic(window))
-                if d > most[t]:
-                    most[t] = d
+                if d > own[t]:
+                    own[t] = d
+            most += own
         return np.minimum(most, MOST_DIFFERENCE)
 
 
@@ -118,12 +123,14 @@ def _sample(
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).select(
         F.col(label_key).alias("key"), F.col(label).cast("int").alias("y")
     )
-    both = df.select(F.col(key).alias("key"), F.substring(text, 1, SAMPLE_BYTES).alias("text")).join(marks, "key")
-    order = F.xxhash64(F.col("key"), F.col("text"))
-    rows = []
-    for y in (0, 1):
-        part = both.filter((F.col("y") == y) & F.col("text").isNotNull()).select("text", order.alias("o")).orderBy("o").limit(sample)
-        rows += [(t, y) for t in part.toArrow()["text"].to_pylist()]
+    # Labels are chosen before any text is read, so a bounded number of keys is broadcast and no text is shuffled.
+    order = F.xxhash64("key", "y")
+    chosen = [marks.filter(F.col("y") == y).distinct().orderBy(order, "key").limit(sample) for y in (0, 1)]
+    both = df.select(F.col(key).alias("key"), F.substring(text, 1, SAMPLE_BYTES).alias("text")).join(
+        F.broadcast(chosen[0].union(chosen[1])), "key"
+    )
+    read = both.filter(F.col("text").isNotNull()).select("text", "y").limit(4 * sample).toArrow()
+    rows = sorted(zip(read["text"].to_pylist(), read["y"].to_pylist()))
     found = dict(marks.groupBy("y").count().collect())
     return rows, [found.get(0, 0), found.get(1, 0)]
 
@@ -158,13 +165,24 @@ def _segments(trained: bytes, toxic: list[list[bytes]], ordinary: list[list[byte
     """Word beginnings in the trained toxic dictionary that tell toxic from ordinary texts, best first."""
     wanted = {b for w in set(trained.split()) for b in _beginnings(w)}
 
-    def texts_with(texts: list[list[bytes]]) -> Counter:
+    def seen_in(texts: list[list[bytes]]) -> tuple[Counter, dict[bytes, set[bytes]]]:
+        """Texts with each beginning, and the words before it."""
         out: Counter = Counter()
+        before: dict[bytes, set[bytes]] = {}
         for words in texts:
-            out.update({b for w in set(words) for b in _beginnings(w)} & wanted)
-        return out
-
-    a, b, na, nb = texts_with(toxic), texts_with(ordinary), len(toxic), len(ordinary)
+            own = set()
+            for last, w in zip([b"", *words], words):
+                for s in _beginnings(w):
+                    if s in wanted:
+                        own.add(s)
+                        before.setdefault(s, set()).add(last)
+            out.update(own)
+        return out, before
+
+    # Copied passages repeat a word in one context only, so contexts bound the number of texts that count.
+    a, before = seen_in(toxic)
+    a = Counter({s: min(n, len(before[s])) for s, n in a.items()})
+    b, na, nb = seen_in(ordinary)[0], len(toxic), len(ordinary)
 
     def z(s: bytes) -> float:
         share = (a[s] + b[s]) / (na + nb)
@@ -230,7 +248,7 @@ def with_scores(df: DataFrame, text: str, model: Model) -> DataFrame:
 
     def run(batches):
         chance = np.array(sent.value.chance)
-        for part in slices(batches, "text"):
+        for part in slices(batches, "text", SLICE_BYTES):
             scores = chance[np.minimum(sent.value.differences(part.column("text")), len(chance) - 1)]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores)], ["row", "score"])
 
