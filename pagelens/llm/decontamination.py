@@ -33,7 +33,7 @@ from pagelens.session import scratch_path
 
 WINDOW = 13
 #: Bytes of text of a segment, unless one text is longer.
-SEGMENT_BYTES = 16 << 20
+SEGMENT_BYTES = 8 << 20
 #: Bytes of test items that are searched for in one pass, and sent to each executor.
 BLOCK_BYTES = 16 << 20
 
@@ -165,7 +165,7 @@ def search(index: DataFrame, items: list[tuple[str, tuple[str, ...]]], window: i
 
     def run(batches):
         for batch in batches:
-            for row in batch.to_pylist():
+            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
                 segment = Segment(row["terms"], np.array(row["counts"], dtype=np.int64), row["positions"])
                 firsts = np.array(row["firsts"], dtype=np.int64)
                 spans, near = [[] for _ in firsts], [[] for _ in firsts]

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelens.llm.shipping import map_arrow
-from pagelens.llm.words import LOWERED, Words, slices, split_words
+from pagelens.llm.words import LOWERED, Words, slices, split_words, texts_of
 from pagelens.operators.duplicates import components
 from pagelens.operators.skew import lookup
 from pagelens.session import bounded_broadcast, scratch_path
@@ -74,12 +74,12 @@ def simhash(words: Words, size: int = SHINGLE, seed: int = SEED) -> np.ndarray:
 
 def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
     """(row: all columns of `df` as a struct, fingerprint: bigint), without a shuffle."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
-    schema = packed.drop("text").schema.add("fingerprint", T.LongType())
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("fingerprint", T.LongType())])
 
     def run(batches):
-        for part in slices(batches, "text", SLICE_BYTES):
-            prints = simhash(split_words(part.column("text"), LOWERED))
+        for part in slices(batches, f"row.{text}", SLICE_BYTES):
+            prints = simhash(split_words(texts_of(part, f"row.{text}"), LOWERED))
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(prints)], ["row", "fingerprint"])
 
     return map_arrow(packed, run, schema)

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import zipfile
 from collections.abc import Callable
 from pathlib import Path
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
@@ -26,6 +29,21 @@ def ship(spark: SparkSession) -> None:
     _sent.add(app)
 
 
+def trim() -> None:
+    """Give freed memory back: a worker outlives its task, and what it keeps is lost to the executor."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # not with every C library
+        pass
+
+
 def map_arrow(df: DataFrame, run: Callable, schema) -> DataFrame:
     ship(df.sparkSession)
-    return df.mapInArrow(run, schema)
+
+    def trimmed(batches):
+        yield from run(batches)
+        trim()
+
+    return df.mapInArrow(trimmed, schema)

@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pagelens.llm.words import LOWERED, ragged_take, string_array, text_bytes
 
 #: Encoded pieces a worker remembers at most; beyond that it forgets all and goes on.
-REMEMBERED = 400_000
+REMEMBERED = 300_000
 TAIL = ".,;:!?%$#*&|"
 TWO_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][\s\x0b\x1c-\x1f\x{85}\p{Z}]"
 WHITE_BYTES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])

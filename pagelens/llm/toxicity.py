@@ -31,15 +31,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from pagelens.llm.shipping import map_arrow
-from pagelens.llm.words import ALPHANUMERIC, slices, split_words
+from pagelens.llm.words import ALPHANUMERIC, slices, split_words, texts_of
 
 #: Labelled texts of each class that training and calibration read at most, and bytes of each text that they read.
 SAMPLE = 1500
-SAMPLE_BYTES = 1 << 15
+SAMPLE_BYTES = 1 << 14
 WINDOW_WORDS = (5, 8, 13)
 TRAIN_WINDOW = 16
 LEVEL = 6
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 ORDINARY_BYTES = 8 << 10
 NEAR_BYTES = 20_000
 TOXIC_BYTES = 64 << 10
@@ -242,14 +242,14 @@ def train(
 
 def with_scores(df: DataFrame, text: str, model: Model) -> DataFrame:
     """(row: all columns of `df` as a struct, score: 0 to 1)."""
-    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), F.col(text).alias("text"))
-    schema = packed.drop("text").schema.add("score", T.DoubleType())
+    packed = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"))
+    schema = T.StructType([*packed.schema.fields, T.StructField("score", T.DoubleType())])
     sent = df.sparkSession.sparkContext.broadcast(model)
 
     def run(batches):
         chance = np.array(sent.value.chance)
-        for part in slices(batches, "text", SLICE_BYTES):
-            scores = chance[np.minimum(sent.value.differences(part.column("text")), len(chance) - 1)]
+        for part in slices(batches, f"row.{text}", SLICE_BYTES):
+            scores = chance[np.minimum(sent.value.differences(texts_of(part, f"row.{text}")), len(chance) - 1)]
             yield pa.RecordBatch.from_arrays([part.column("row"), pa.array(scores)], ["row", "score"])
 
     return map_arrow(packed, run, schema)

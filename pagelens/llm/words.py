@@ -12,8 +12,9 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 BLANK = 32
 
 
@@ -90,12 +91,18 @@ def split_words(texts: pa.Array, table: np.ndarray) -> Words:
     return Words(joined, starts, lengths, np.searchsorted(begin, offsets))
 
 
+def texts_of(batch: pa.RecordBatch, text: str) -> pa.Array:
+    """A column, or with a dot a field of the struct column `row`."""
+    name = text.removeprefix("row.")
+    return batch.column(text) if name == text else pc.struct_field(batch.column("row"), [name])
+
+
 def slices(batches: Iterator[pa.RecordBatch], text: str, limit: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """The rows in order, in pieces of at most `limit` bytes of text, or of one row."""
     for batch in batches:
         if not batch.num_rows:
             continue
-        _, offsets = text_bytes(batch.column(text))
+        _, offsets = text_bytes(texts_of(batch, text))
         at = 0
         while at < batch.num_rows:
             to = int(np.searchsorted(offsets, offsets[at] + limit, side="right")) - 1
