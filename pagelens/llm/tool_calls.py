@@ -10,7 +10,7 @@ them in that order, its own order stands and nothing is iterated. An event that
 it needs moves behind the last such event (`order_turn`, `order_part`), and among those moved behind the same
 event the number of steps from it decides (`order_step`), then its own place. Both are found by rounds
 over joined tables, as many as the longest chain of displaced events, each round written to the
-shared folder. Events on a cycle are marked and come last in their place.
+shared folder. Events on a cycle, or that wait for one, are marked and come last in their place.
 
 Results for odd input: a result whose call is missing is an orphan, a call without result unanswered; of calls that
 repeat an identifier in a conversation the first in order counts and later ones are marked repeated; arguments that are null,
@@ -155,13 +155,14 @@ def ordered(all_events: DataFrame, edges: DataFrame) -> DataFrame:
     # Among those moved behind one event: steps from it, found by peeling off whatever no longer waits.
     pair = state.select("node", "behind")
     inner = _written(
-        edges.join(moved.select("node", "behind"), "node")
+        edges.join(pair, "node")
         .join(pair.select(F.col("node").alias("needs"), F.col("behind").alias("b")), "needs")
         .filter(F.col("behind") == F.col("b"))
         .select("node", "needs"),
         "inner",
     )
-    waiting = _written(moved.select("node"), "waiting")
+    # All that were moved wait for something of the same place; an event in its own place does so on a cycle only.
+    waiting = _written(inner.select("node").distinct(), "waiting")
     steps, step = None, 0
     while True:
         step += 1
