@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from html.entities import html5
+
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
@@ -11,8 +13,9 @@ from pagelens.functions.arrays import let
 from pagelens.functions.text import blank_word_count, strip
 
 # Markup patterns. Possessive repeats keep the matcher's stack flat on long tags.
-SCRIPT = r"(?is)<script\b.*?</script\s*>"
-STYLE = r"(?is)<style\b.*?</style\s*>"
+# A block that is never closed hides the rest of the page, as in a browser.
+SCRIPT = r"(?is)<script\b.*?(?:</script\s*>|\z)"
+STYLE = r"(?is)<style\b.*?(?:</style\s*>|\z)"
 COMMENT = r"(?s)<!--.*?-->"
 TAG = r"""<[a-zA-Z/!?](?:[^>"']++|"[^"]*+"|'[^']*+')*+>"""
 BLOCK_TAG = (
@@ -20,7 +23,8 @@ BLOCK_TAG = (
     r"header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
 NUMERIC_REF = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-# Named character references and their characters.
+NAMED_REF = r"&([A-Za-z][A-Za-z0-9]*);"
+# The named references that the checking SQL spells out; decoding knows all of HTML's.
 NAMED = (
     ("&lt;", "<"),
     ("&gt;", ">"),
@@ -57,12 +61,23 @@ def _numeric(text: Column) -> Column:
     return F.aggregate(codes, text, replaced)
 
 
+def _named(text: Column) -> Column:
+    """Replace each distinct named reference but the ampersand; unknown names stay."""
+    known = "\u0001".join(f"{name[:-1]}\u0002{char}" for name, char in sorted(html5.items()) if name.endswith(";") and name != "amp;")
+    table = F.str_to_map(F.lit(known), F.lit("\u0001"), F.lit("\u0002"))  # folded into one constant
+    names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED_REF), F.lit(1)))
+
+    def replaced(acc: Column, name: Column) -> Column:
+        char = F.try_element_at(table, name)
+        return F.when(char.isNull(), acc).otherwise(F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), char))
+
+    return F.aggregate(names, text, replaced)
+
+
 def _references(text: Column) -> Column:
     """All references of a text that holds at least one ampersand; the named ampersand last."""
     out = F.when(F.contains(text, F.lit("&#")), _numeric(text)).otherwise(text)
-    for name, char in NAMED:
-        out = F.replace(out, F.lit(name), F.lit(char))
-    return out
+    return F.replace(_named(out), F.lit("&amp;"), F.lit("&"))
 
 
 def decode_entities(col: Column) -> Column:

@@ -194,29 +194,42 @@ def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, bloc
             "token", "pos", "id", "size", F.coalesce("label", "id").alias("label")
         )
     )
-    # Posting lists of a single cluster need no further comparison.
+    # Posting lists of a single cluster need no further comparison. In the others the largest cluster is
+    # met only by the rows outside it, so it is never paired with itself.
+    by_label = tagged.groupBy("token", "label").agg(F.count(F.lit(1)).alias("n"))
     open_lists = (
-        tagged.groupBy("token")
-        .agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count(F.lit(1)).alias("n"))
-        .filter("x <> y")
-        .select("token", "n", F.ceil(F.col("n") / block).cast("int").alias("cells"))
+        by_label.groupBy("token")
+        .agg(F.sum("n").alias("n"), F.max(F.struct("n", "label")).alias("largest"))
+        .filter("n > largest.n")
+        .select(
+            "token",
+            "n",
+            F.col("largest.label").alias("big"),
+            F.ceil(F.col("n") / block).cast("int").alias("cells"),
+            F.ceil((F.col("n") - F.col("largest.n")) / block).cast("int").alias("few"),
+        )
     )
     rows = _written(lookup(tagged, open_lists, "token", hot_rows, n_postings))
     # Long lists are cut into a grid of cells, so no task holds more than block x block comparisons.
-    cell = F.pmod(F.xxhash64("id"), F.col("cells")).cast("int")
-    every = F.explode(F.sequence(F.lit(0), F.col("cells") - 1))
-    left = rows.select(
+    def cell(n: str) -> Column:
+        return F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+
+    def every(n: str) -> Column:
+        return F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+
+    left = rows.filter("label <> big").select(
         "token", F.col("id").alias("a"), F.col("size").alias("sa"), F.col("pos").alias("pa"),
-        F.col("label").alias("la"), cell.alias("i"), every.alias("j"),
+        F.col("label").alias("la"), cell("few").alias("i"), every("cells").alias("j"), "big",
     )
     right = rows.select(
         "token", F.col("id").alias("b"), F.col("size").alias("sb"), F.col("pos").alias("pb"),
-        F.col("label").alias("lb"), every.alias("i"), cell.alias("j"),
+        F.col("label").alias("lb"), every("few").alias("i"), cell("cells").alias("j"),
     )
     cross = (
         left.join(right, ["token", "i", "j"])
-        .filter((F.col("a") < F.col("b")) & (F.col("la") != F.col("lb")) & _can_match(threshold, "sa", "pa", "sb", "pb"))
-        .select("a", "b")
+        .filter((F.col("la") != F.col("lb")) & ((F.col("lb") == F.col("big")) | (F.col("a") < F.col("b"))))
+        .filter(_can_match(threshold, "sa", "pa", "sb", "pb"))
+        .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
     )
     second = _similar(_cut(cross), sets, threshold, hot_rows)

@@ -24,7 +24,10 @@ def capped(text: Column, limit: int) -> Column:
 def requests(
     df: DataFrame, key: str, text: str, prompts: Sequence[Sequence], limit: int = INPUT_LIMIT
 ) -> DataFrame:
-    """One request row per document and prompt kind; the short prompt list is unnested, not joined."""
+    """One request row per prompt kind and part of a document; the short prompt list is unnested, not joined.
+
+    A text longer than the input cap makes several parts, so every character is sent.
+    """
     kinds = F.array(
         *[
             F.struct(
@@ -37,11 +40,14 @@ def requests(
             for kind, role, task, guide, budget in prompts
         ]
     )
-    return df.select(key, text, F.explode(kinds).alias("p")).select(
+    n_parts = F.greatest(F.ceil(F.coalesce(F.length(text), F.lit(0)) / limit).cast("int"), F.lit(1))
+    parts = df.select(key, text, F.explode(F.sequence(F.lit(0), n_parts - 1)).alias("part"))
+    return parts.select(key, text, "part", F.explode(kinds).alias("p")).select(
         key,
         "p.kind",
+        "part",
         "p.system_role",
-        F.concat("p.head", capped(F.col(text), limit), "p.tail").alias("prompt"),
+        F.concat("p.head", F.substr(F.col(text), F.col("part") * limit + 1, F.lit(limit)), "p.tail").alias("prompt"),
         "p.max_tokens",
     )
 

@@ -270,11 +270,12 @@ def source_comparison(content: DataFrame) -> DataFrame:
 
 
 def page_of(df: DataFrame, order: Sequence[str], page: int = 1, size: int = 10, max_size: int = 1000) -> DataFrame:
-    """One page of ordered rows; page and size are brought into range first."""
+    """One page of ordered rows; missing or odd numbers get defaults, a page beyond `max_size` is an error."""
     page = page if isinstance(page, int) and page >= 1 else 1
     if not isinstance(size, int) or size < 1:
         size = 10
-    size = min(size, max_size)
+    if size > max_size:
+        raise ValueError(f"a page holds at most {max_size} rows, not {size}")
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

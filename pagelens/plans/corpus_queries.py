@@ -192,7 +192,7 @@ def classifier_training(spark, sf):
 @ENTRIES.add("network_training", "M2")
 def network_training(spark, sf):
     train, test = md.split_rows(_prepared(spark, sf), "doc_id")
-    model = md.train_classifier(train, "lang", layers=(256, 128, 64), max_terms=500)
+    model = md.train_classifier(train, "lang", layers=(256, 128, 64))
     return md.evaluation(md.predict(model, test, ["doc_id", "lang"]), "lang", "predicted")
 
 

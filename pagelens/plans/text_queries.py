@@ -513,7 +513,7 @@ def model_inputs(spark, sf):
     "keyword_search",
     "P10",
     f"""SELECT b.item_id, d.doc_id FROM documents d JOIN (SELECT item_id,
-        regexp_replace(left({S.strip('text')}, 1000), '[<>]', '', 'g') AS q FROM benchmark) b ON contains(lower(d.text), lower(b.q))""",
+        regexp_replace({S.strip('text')}, '[<>]', '', 'g') AS q FROM benchmark) b ON contains(lower(d.text), lower(b.q))""",
 )
 def keyword_search(spark, sf):
     # Each benchmark passage is one search input.
@@ -522,17 +522,19 @@ def keyword_search(spark, sf):
 
 
 _PROMPT = " UNION ALL ".join(
-    f"SELECT doc_id, '{k}' AS kind, '{r}' AS system_role, '{t}' || chr(10) || chr(10) || 'Content: ' || left(text, 10000) || "
-    f"chr(10) || chr(10) || '{g}' AS prompt, {n} AS max_tokens FROM documents"
+    f"SELECT doc_id, '{k}' AS kind, part, '{r}' AS system_role, '{t}' || chr(10) || chr(10) || 'Content: ' || "
+    f"substr(text, part * 10000 + 1, 10000) || chr(10) || chr(10) || '{g}' AS prompt, {n} AS max_tokens "
+    f"FROM (SELECT *, unnest(range(0, greatest((length(text) + 9999) // 10000, 1)))::INTEGER AS part FROM documents)"
     for k, r, t, g, n in seeds.PROMPTS
 )
 
 
-@ENTRIES.add("prompt_requests", "N17 P18", f"SELECT doc_id, kind, system_role, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, max_tokens FROM ({_PROMPT})")
+@ENTRIES.add("prompt_requests", "N17 P18", f"SELECT doc_id, kind, part, system_role, md5(prompt) AS prompt_md5, length(prompt) AS prompt_chars, max_tokens FROM ({_PROMPT})")
 def prompt_requests(spark, sf):
     return pr.requests(docs(spark, sf), "doc_id", "text", seeds.PROMPTS).select(
         "doc_id",
         "kind",
+        "part",
         "system_role",
         F.md5("prompt").alias("prompt_md5"),
         F.length("prompt").cast("bigint").alias("prompt_chars"),

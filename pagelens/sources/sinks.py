@@ -129,7 +129,9 @@ def sheet_tables(jobs: DataFrame, content: DataFrame, responses: DataFrame, erro
         "results": content.select(
             "job_id", "url", "title", "word_count", "engine", "scraped_at", "quality_score", "sentiment", "category"
         ),
-        "detailed_analysis": responses.select("job_id", "url", F.substring("response", 1, 500).alias("summary")),
+        "detailed_analysis": responses.select(
+            "job_id", "url", F.substring("response", 1, 500).alias("summary"), "response"
+        ),
         "errors": errors,
     }
 

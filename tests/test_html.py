@@ -31,7 +31,7 @@ def test_title_and_description(record):
 def test_text(record):
     text = record[1]["text_content"]
     assert "var t" not in text and "p{}" not in text and "hidden" not in text
-    assert "One Two three €5 ét&eacute;" in text
+    assert "One Two three €5 été" in text
     assert "First one" in text and record[1]["word_count"] == len(text.split())
     assert "SecondFirst one" in record[1]["text_fused"]
 
@@ -78,3 +78,11 @@ def test_long_tag_does_not_overflow(spark):
     page = "<p data='" + "x" * 200_000 + "' " + "a=1 " * 50_000 + ">text</p>"
     df = spark.createDataFrame([(1, "http://a.org/", page)], "page_id bigint, url string, html string")
     assert html.parse_pages(df, ("text_content",)).first()["text_content"] == "text"
+
+
+def test_all_named_references_and_unclosed_blocks(one):
+    from pagelens.functions.html import decode_entities, visible_text
+
+    assert one(lambda c: decode_entities(F.col("x")), "caf&eacute; M&uuml;nchen &rsquo;&laquo; &amp;lt; &unknown; &AMP") == "café München ’« &lt; &unknown; &AMP"
+    shown = one(lambda c: visible_text(html.without_code(F.col("x"))), "<p>a</p><script>var x=1;")
+    assert shown.strip() == "a"

@@ -191,7 +191,8 @@ def test_response_score(one, line, score):
 
 def test_prompts(spark):
     rows = pr.requests(docs(spark, "x" * 12_000), "id", "text", seeds.PROMPTS).collect()
-    assert len(rows) == 6 and all(r["prompt"].count("x" * 10_000) == 1 for r in rows)
+    # Every character is sent: two parts for each of the six kinds.
+    assert len(rows) == 12 and {(r["part"], r["prompt"].count("x" * 2000)) for r in rows} == {(0, 5), (1, 1)}
     assert all("x" * 10_001 not in r["prompt"] for r in rows)
 
 
