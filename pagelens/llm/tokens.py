@@ -9,8 +9,11 @@ counted by Arrow, only new ones are encoded, and ids are gathered with numpy:
   characters in a row are encoded whole, as the split inside such a run looks ahead.
 * `pieces="whole"`: no such rule is known; every text is encoded whole.
 
-A piece that ends in ASCII punctuation after a letter or digit is encoded in two parts,
-since no token of these tokenizers crosses from the one to the other.
+A piece also ends between an ASCII letter or digit and a sign of `TAIL`, since no token of these tokenizers
+crosses from the one to the other.
+
+New pieces that begin with a blank and end in no white space are encoded many at once, as one text: there
+each blank begins a piece, so a piece begins at each token that begins with a blank.
 """
 
 from __future__ import annotations
@@ -23,10 +26,14 @@ import pyarrow.compute as pc
 
 from pagelens.llm.words import LOWERED, ragged_take, string_array, text_bytes
 
-#: Encoded pieces a worker remembers at most; beyond that it forgets all and goes on.
-REMEMBERED = 300_000
+#: Encoded pieces a worker remembers at most: beyond half of it, it forgets those not met since the half before.
+REMEMBERED = 400_000
+#: Pieces encoded as one text.
+AT_ONCE = 2_000
 TAIL = ".,;:!?%$#*&|"
 TWO_BLANKS = r"[\s\x0b\x1c-\x1f\x{85}\p{Z}][\s\x0b\x1c-\x1f\x{85}\p{Z}]"
+TAIL_BYTES = np.isin(np.arange(256), list(TAIL.encode()))
+PLAIN_BYTES = np.array([chr(i).isalnum() and i < 128 for i in range(256)])
 WHITE_BYTES = np.isin(np.arange(256), [9, 10, 11, 12, 13, 32])
 
 _encoders: dict[tuple[int, str], Encoder] = {}
@@ -51,34 +58,52 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(model)
         self.pieces = pieces
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        blank = "\u0120"  # how byte-level vocabularies write a blank
+        vocabulary = self.tokenizer.get_vocab()
+        self.begins = np.zeros(max(vocabulary.values(), default=0) + 1, dtype=bool)
+        self.begins[[i for t, i in vocabulary.items() if t.startswith(blank)]] = True
+
+    def _at_once(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces that each begin with a blank and hold no other, and end in no white space."""
+        ids = np.array(self.tokenizer.encode_batch_fast(["".join(pieces)], add_special_tokens=False)[0].ids, dtype="<u4")
+        first = np.flatnonzero(self.begins[ids])
+        if len(first) != len(pieces) or first[0] != 0:
+            return self._whole(pieces)
+        raw, at = ids.tobytes(), [*(4 * first).tolist(), 4 * len(ids)]
+        return [raw[a:b] for a, b in zip(at, at[1:])]
 
     def _whole(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _learn(self, new: list[str]) -> None:
+        joint, alone = [], new
+        if self.pieces == "blank":
+            joint = [p for p in new if p[0] == " " and not p[-1].isspace()]
+            alone = [p for p in new if p[0] != " " or p[-1].isspace()]
+        for at in range(0, len(joint), AT_ONCE):
+            part = joint[at : at + AT_ONCE]
+            self.known.update(zip(part, self._at_once(part)))
+        for at in range(0, len(alone), 10_000):
+            part = alone[at : at + 10_000]
+            self.known.update(zip(part, self._whole(part)))
+
     def _pieces(self, pieces: list[str]) -> list[bytes]:
-        if len(self.known) > REMEMBERED:
-            self.known.clear()
-        known, parts, new = self.known, [], {}
-        for p in pieces:
-            if p in known:
-                parts.append((p, None))
-                continue
-            stem = p.rstrip(TAIL)
-            if stem and stem != p and stem[-1].isalnum():
-                tail = p[len(stem) :]
-                parts.append((stem, tail))
-                if tail not in known:
-                    new[tail] = None
+        if len(self.known) > REMEMBERED // 2:
+            self.known, self.older = {}, self.known
+        out = list(map(self.known.get, pieces))
+        missing = [i for i, ids in enumerate(out) if ids is None]
+        new = []
+        for i in missing:
+            ids = self.older.get(pieces[i])
+            if ids is None:
+                new.append(pieces[i])
             else:
-                stem = p
-                parts.append((p, None))
-            if stem not in known:
-                new[stem] = None
-        fresh = list(new)
-        for at in range(0, len(fresh), 10_000):
-            part = fresh[at : at + 10_000]
-            known.update(zip(part, self._whole(part)))
-        return [known[a] if b is None else known[a] + known[b] for a, b in parts]
+                self.known[pieces[i]] = ids
+        self._learn(new)
+        for i in missing:
+            out[i] = self.known[pieces[i]]
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """(ids, offsets): the ids of text i are ids[offsets[i]:offsets[i + 1]]; nulls are empty."""
@@ -103,8 +128,9 @@ class Encoder:
         data = LOWERED[raw] if self.pieces == "word" else raw
         if not len(data):
             return np.zeros(0, dtype=np.uint32), np.zeros(len(texts) + 1, dtype=np.int64)
-        # A piece begins at each blank and at each text.
+        # A piece begins at each blank, at a tail and at each text.
         begins = (WHITE_BYTES[raw] if self.pieces == "word" else raw == 32).copy()
+        begins[1:] |= TAIL_BYTES[raw[1:]] & PLAIN_BYTES[raw[:-1]]
         begins[offsets[:-1][np.diff(offsets) > 0]] = True
         starts = np.flatnonzero(begins)
         coded = string_array(data, np.append(starts, len(data))).dictionary_encode()

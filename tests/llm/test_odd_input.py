@@ -231,3 +231,22 @@ def test_exchange_ends_where_no_single_move_helps():
             other = label.copy()
             other[u] = c
             assert likelihood(other) <= best + 1e-6
+
+
+def test_pieces_give_the_ids_of_whole_texts():
+    import public_tokenizers
+    import pyarrow as pa
+
+    from pagelens.llm.tokens import Encoder, read_model
+
+    texts = [
+        "", "a", "a.b", " a. b", "x.,y", "It's a.m. don't.'s", "5%.$3", "a\nb c.\n", "é.x €.y ²,z", "a.\nb", " ", ". a", "a b ",
+        "U.S.A., e.g.: ok!?", "a|b c*d #e f#g", "日本。a.", "\ta. b\x0bc.", "a b. c d", "a  b", None, "a,́b", "x.‍ y",
+    ]
+    for name, pieces in (("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "blank")):
+        tool = Encoder(read_model(public_tokenizers.path(name)), pieces)
+        for _ in range(3):  # new, known and older pieces
+            ids, offsets = tool.encode(pa.array(texts))
+            for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+                assert ids[a:b].tolist() == tool.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+            tool.known, tool.older = {}, tool.known
