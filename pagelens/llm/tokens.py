@@ -10,7 +10,8 @@ counted by Arrow, only new ones are encoded, and ids are gathered with numpy:
 * `pieces="whole"`: no such rule is known; every text is encoded whole.
 
 A piece also ends between an ASCII letter or digit and a sign of `TAIL`, since no token of these tokenizers
-crosses from the one to the other.
+crosses from the one to the other. The added tokens of a tokenizer file (such as `<|endoftext|>`) follow none of
+these rules: texts that hold the content of one are encoded whole.
 
 New pieces that begin with a blank and end in no white space are encoded many at once, as one text: there
 each blank begins a piece, so a piece begins at each token that begins with a blank.
@@ -18,7 +19,9 @@ each blank begins a piece, so a piece begins at each token that begins with a bl
 
 from __future__ import annotations
 
+import json
 import os
+import re
 
 import numpy as np
 import pyarrow as pa
@@ -56,7 +59,14 @@ class Encoder:
         if pieces not in ("word", "blank", "whole"):
             raise ValueError(f"pieces must be word, blank or whole, not {pieces!r}")
         self.tokenizer = Tokenizer.from_str(model)
+        added = [t for t in json.loads(model).get("added_tokens") or [] if t["content"]]
+        if self.tokenizer.normalizer is not None and any(t.get("normalized") for t in added):
+            pieces = "whole"  # such a token is looked for in the normalized text
         self.pieces = pieces
+        # Texts to encode whole. Pieces may be lower-cased, so the case of an added token does not matter here.
+        odd = [TWO_BLANKS] if pieces == "blank" else []
+        odd += [f"(?i:{re.escape(t['content'])})" for t in added]
+        self.odd = "|".join(odd)
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
         blank = "\u0120"  # how byte-level vocabularies write a blank
@@ -111,8 +121,8 @@ class Encoder:
         if self.pieces == "whole":
             return self._joined(self._whole(texts.to_pylist()))
         odd = np.zeros(len(texts), dtype=bool)
-        if self.pieces == "blank":
-            odd = pc.match_substring_regex(texts, TWO_BLANKS).to_numpy(zero_copy_only=False)
+        if self.odd:
+            odd = pc.match_substring_regex(texts, self.odd).to_numpy(zero_copy_only=False)
         if odd.any():
             even, even_offsets = self._even(texts.filter(pa.array(~odd)))
             whole, whole_offsets = self._joined(self._whole(texts.filter(pa.array(odd)).to_pylist()))

@@ -233,7 +233,7 @@ def test_exchange_ends_where_no_single_move_helps():
             assert likelihood(other) <= best + 1e-6
 
 
-def test_pieces_give_the_ids_of_whole_texts():
+def test_new_known_and_older_pieces_give_the_ids_of_whole_texts():
     import public_tokenizers
     import pyarrow as pa
 
@@ -250,3 +250,16 @@ def test_pieces_give_the_ids_of_whole_texts():
             for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
                 assert ids[a:b].tolist() == tool.tokenizer.encode(t or "", add_special_tokens=False).ids, t
             tool.known, tool.older = {}, tool.known
+
+
+@pytest.mark.parametrize("name, pieces", [("word_bpe_49k.json", "word"), ("byte_bpe_50k.json", "blank")])
+def test_added_tokens_in_texts_give_the_ids_of_whole_texts(name, pieces):
+    texts = [
+        "ab <|endoftext|> cd", "ab<|endoftext|>cd.", "<|endoftext|>", "x <|startoftext|> y", "<|startoftext|><|endoftext|>", None,
+        "ab <|ENDOFTEXT|> cd", "a <|endoftext |> b", "plain a|b.", "<|endoftext|>\n\n<|endoftext|> z",
+    ]
+    tool = tokens.Encoder(tokens.read_model(catalog.tokenizer(name)), pieces)
+    ids, offsets = tool.encode(pa.array(texts))
+    for t, a, b in zip(texts, offsets[:-1], offsets[1:]):
+        assert ids[a:b].tolist() == tool.tokenizer.encode(t or "", add_special_tokens=False).ids, t
+    assert tool.tokenizer.token_to_id("<|endoftext|>") in ids[offsets[0] : offsets[1]]
