@@ -70,6 +70,26 @@ def test_quality_rules(spark, odd, empty):
         quality_rules.failed([quality_rules.Rule("x", "nothing", least=1)])
 
 
+def test_quality_rules_reject_table_junk(spark):
+    plain = "the house of a friend stands near that old river and nobody has ever painted its wooden door in another colour"
+    bare = [f"{a}{b}" for a in "bcdfg" for b in ("ole", "une", "ita", "arn", "eps", "olt", "ack", "imp")]
+    texts = [plain, plain.replace(" the", " | the") + " | cell | row | 17 | cell | x | 18 |", " ".join(bare[:10]), " ".join(bare), "$5 " + plain]
+    df = spark.createDataFrame(list(enumerate(texts)), SCHEMA)
+    got = {r["row"]["doc_id"]: (r.kept, r.failed) for r in quality_rules.judged(df, "text").collect()}
+    assert got == {0: (True, []), 1: (False, ["symbols"]), 2: (True, []), 3: (False, ["no_stop_words"]), 4: (True, [])}
+
+
+def test_quality_rules_separate_labelled_rows(spark):
+    folder = "/root/testdata/sf0.01"
+    judged = quality_rules.judged(spark.read.parquet(f"{folder}/documents.parquet").select("doc_id", "text"), "text")
+    labels = spark.read.parquet(f"{folder}/labels.parquet")
+    quality = {r.doc_id: r.quality for r in labels.collect()}
+    rows = [r for r in judged.select("row.doc_id", "base_failed", "kept").collect() if not r.base_failed]
+    bad = [r for r in rows if quality.get(r.doc_id) == 0]
+    assert bad and all(r.kept for r in rows if quality.get(r.doc_id) == 1)
+    assert sum(r.kept for r in bad) <= 0.1 * len(bad)
+
+
 def test_decontamination(spark, odd, empty):
     items = spark.createDataFrame([(1, "alpha BETA gamma"), (1, "alpha beta gamma"), (2, None), (3, ""), (None, "x"), (4, "x")], "item_id bigint, text string")
     found = decontamination.contamination(odd, "doc_id", "text", items, "item_id", "text", slop=1)
