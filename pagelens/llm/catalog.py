@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import class_model, decontamination, language_id, licenses, near_duplicates, packing, quality_rules, token_codes, tool_calls, toxicity
+from pagelens.llm import class_model, decontamination, language_id, licenses, near_duplicates, packing, periodic_runs, quality_rules, token_codes, tool_calls, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -161,3 +161,33 @@ def as_files(docs):
 def op7_licenses(spark, folder):
     found = licenses.scan(as_files(table(spark, folder, "documents")), "path", "text")
     return found.select("row.doc_id", "row.path", "license", F.round("score", 6).alias("score"), "how", "inherited_from")
+
+
+def with_planted_rounds(docs):
+    """`op13`'s texts: in one document of ten the words from a place of its id on come round with a period of its id.
+
+    Words are joined by blanks, which leaves the words of a text as they are; other texts are not touched.
+    """
+    code = F.crc32(F.col("doc_id").cast("string"))
+    part = F.floor(code / 10)
+    chosen = F.coalesce(code % 10 == 0, F.lit(False)) & F.col("text").isNotNull()
+    words = F.filter(F.split(F.regexp_replace("text", r"[\t-\r]", " "), " "), lambda w: w != "")
+    out = docs.select("doc_id", "text", part.alias("g"), F.when(chosen, words).alias("words"))
+    n = F.size("words")
+    out = out.withColumn("a", F.when(n > 0, F.col("g") % n))
+    out = out.withColumn("p", F.lit(1) + F.floor((n - F.col("a")) / (F.lit(3) + F.col("g") % 8)))
+    place = lambda i: F.when(i < F.col("a"), i).otherwise(F.col("a") + (i - F.col("a")) % F.col("p")).cast("int")
+    planted = F.array_join(F.transform(F.sequence(F.lit(0), n - 1), lambda i: F.get(F.col("words"), place(i))), " ")
+    return out.select("doc_id", F.when(n > 0, planted).otherwise(F.col("text")).alias("text"))
+
+
+@ENTRIES.add("op13_periodic_runs", "llm")
+def op13_periodic_runs(spark, folder):
+    found = periodic_runs.with_runs(with_planted_rounds(table(spark, folder, "documents").select("doc_id", "text")), "text")
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"].cast("string"), r["length"].cast("string"), r["period"].cast("string")))
+    listed = F.concat(F.array_join(lines, "\n"), F.when(F.size("runs") > 0, "\n").otherwise(""))
+    return found.select(
+        "row.doc_id", F.size("runs").cast("bigint").alias("n_runs"), "top.start", "top.length", "top.period",
+        F.expr("top.length * 1000 div top.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
+        F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
