@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import class_model, decontamination, language_id, licenses, near_duplicates, packing, periodic_runs, quality_rules, token_codes, tool_calls, toxicity
+from pagelens.llm import centroids, class_model, decontamination, language_id, licenses, near_duplicates, packing, periodic_runs, quality_rules, token_codes, tool_calls, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
 from pagelens.sources.tables import table
@@ -191,3 +191,40 @@ def op13_periodic_runs(spark, folder):
         F.expr("top.length * 1000 div top.period").alias("exponent_milli"), F.sha2(listed, 256).alias("runs_sha256"),
         F.sha2("collapsed", 256).alias("collapsed_sha256"),
     )
+
+
+CLUSTERS, ROUNDS, COMPONENTS = 8, 10, 64
+
+
+def clusters_sql(k=CLUSTERS, rounds=ROUNDS, size=COMPONENTS):
+    """The rounds written out: each assigns all vectors and takes the floor of each component's mean."""
+    finite = "x IS NOT NULL AND NOT isnan(x) AND NOT isinf(x)"
+    steps = [
+        f"""k AS MATERIALIZED (
+  SELECT row_number() OVER () AS row_no, vec_id, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+  WHERE len(embedding) = {size} AND len(list_filter(embedding, lambda x: {finite})) = {size})""",
+        f"""c0 AS MATERIALIZED (
+  SELECT row_number() OVER (ORDER BY h, v) - 1 AS c, v FROM
+    (SELECT sha256('3:' || vec_id) AS h, v FROM k WHERE vec_id IS NOT NULL ORDER BY h, v LIMIT {k}))""",
+    ]
+    for n in range(rounds + 1):
+        apart = "list_sum(list_transform(list_zip(k.v, m.v), lambda p: (p[1] - p[2]) * (p[1] - p[2])))::BIGINT"
+        steps.append(f"""a{n} AS MATERIALIZED (
+  SELECT row_no, any_value(vec_id) AS vec_id, any_value(k.v) AS v, min({apart} * {k} + m.c) AS best FROM k, c{n} m GROUP BY row_no)""")
+        if n < rounds:
+            steps.append(f"""c{n + 1} AS MATERIALIZED (
+  SELECT c, coalesce(new.v, old.v) AS v FROM c{n} old LEFT JOIN
+    (SELECT c, list((s - ((s % n) + n) % n) // n ORDER BY i) AS v FROM
+      (SELECT best % {k} AS c, i, sum(v[i])::BIGINT AS s, count(*) AS n FROM a{n}, range(1, {size + 1}) r(i) GROUP BY ALL) GROUP BY c) new USING (c))""")
+    return "WITH " + ",\n".join(steps) + f"""
+SELECT vec_id, (best % {k})::INTEGER AS cluster, (best // {k})::BIGINT AS distance,
+  (sum(best // {k}) OVER (PARTITION BY best % {k}))::BIGINT AS cluster_inertia, (sum(best // {k}) OVER ())::BIGINT AS inertia,
+  sha256(array_to_string(m.v, ',')) AS centroid_sha256
+FROM a{rounds} JOIN c{rounds} m ON m.c = best % {k}"""
+
+
+@ENTRIES.add("op11_centroids", "llm", clusters_sql())
+def op11_centroids(spark, folder):
+    first = F.sha2(F.concat(F.lit("3:"), F.col("key").cast("string")), 256)
+    found = centroids.cluster(table(spark, folder, "embeddings"), "vec_id", "embedding", COMPONENTS, CLUSTERS, ROUNDS, first)
+    return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
