@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from pagelens.llm import centroids, class_model, decontamination, language_id, licenses, near_duplicates, packing, periodic_runs, quality_rules, token_codes, tool_calls, toxicity
+from pagelens.llm import centroids, class_model, decontamination, language_id, licenses, near_duplicates, packing, periodic_runs, quality_rules, rule_ensemble, token_codes, tool_calls, toxicity
 from pagelens.llm.tokens import read_model
 from pagelens.plans.entry import Registry
+from pagelens.session import scratch_path
 from pagelens.sources.tables import table
 
 ENTRIES = Registry()
@@ -228,3 +229,26 @@ def op11_centroids(spark, folder):
     first = F.sha2(F.concat(F.lit("3:"), F.col("key").cast("string")), 256)
     found = centroids.cluster(table(spark, folder, "embeddings"), "vec_id", "embedding", COMPONENTS, CLUSTERS, ROUNDS, first)
     return found.select("vec_id", "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+GOOD_FROM = 0.3
+
+
+def quality_statistics(docs):
+    """(doc_id, statistics) of every document, measured once and written."""
+    spark = docs.sparkSession
+    path = scratch_path(spark, "statistics")
+    found = rule_ensemble.with_statistics(docs.select("doc_id", "text"), "text").select("row.doc_id", *rule_ensemble.STATISTICS)
+    found.write.parquet(path)
+    return spark.read.schema(found.schema).parquet(path)
+
+
+@ENTRIES.add("op12_rule_ensemble", "llm")
+def op12_rule_ensemble(spark, folder):
+    measures = quality_statistics(table(spark, folder, "documents"))
+    labels = table(spark, folder, "labels").filter(remainder("doc_id", 5) != 0)
+    scored = rule_ensemble.with_scores(measures, rule_ensemble.train(measures, "doc_id", labels, "doc_id", "quality"))
+    return scored.select(
+        "doc_id", F.coalesce(remainder("doc_id", 5) == 0, F.lit(False)).alias("held_out"), "score",
+        (F.col("score") >= GOOD_FROM).cast("int").alias("predicted"),
+    )
