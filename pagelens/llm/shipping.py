@@ -13,10 +13,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 _sent: set[str] = set()
+#: Bytes of one Arrow batch where the session names none: rows alone would put thousands of long texts into one.
+BATCH_SETTING, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", "16m"
 
 
 def ship(spark: SparkSession) -> None:
-    """Send the package's sources to all executors, once an application, as `--py-files` would."""
+    """Send the package's sources to all executors, once an application, as `--py-files` would; bound Arrow batches in bytes."""
+    unset = "1b"
+    if spark.conf.get(BATCH_SETTING, unset) == unset:
+        spark.conf.set(BATCH_SETTING, BATCH_BYTES)
     app = spark.sparkContext.applicationId
     if app in _sent:
         return
