@@ -22,8 +22,8 @@ BLOCK_TAG = (
     r"(?i)</?(?:address|article|aside|blockquote|body|br|dd|div|dl|dt|fieldset|figure|footer|form|h[1-6]|head|"
     r"header|hr|html|li|main|nav|ol|p|pre|section|table|td|th|title|tr|ul)\b[^>]*>"
 )
-NUMERIC_REF = r"&#([0-9]{1,7}|[xX][0-9a-fA-F]{1,6});"
-NAMED_REF = r"&([A-Za-z][A-Za-z0-9]*);"
+# What may follow an ampersand as a reference: a decimal or hexadecimal number, or a name, each with or without its semicolon.
+REFERENCE = r"^(?:#[0-9]+;?|#[xX][0-9a-fA-F]+;?|[^\t\n\f <&#;]{1,32};?)"
 # The named references that the checking SQL spells out; decoding knows all of HTML's.
 NAMED = (
     ("&lt;", "<"),
@@ -42,42 +42,61 @@ NAMED = (
 )
 
 
-def _code_point(code: Column) -> Column:
-    """The character of a numeric code point; out-of-range codes give the replacement mark."""
-    valid = code.between(1, 0xD7FF) | code.between(0xE000, 0x10FFFF)
-    safe = F.when(valid, code).otherwise(F.lit(0xFFFD))
-    return F.decode(F.unhex(F.lpad(F.hex(safe), 8, "0")), "UTF-32")
+# Numbers that stand for another character: zero, a line end, and those that old pages meant as Windows letters.
+RENUMBERED = {0: "\ufffd", 13: "\r"} | {n: bytes([n]).decode("cp1252", "ignore") or chr(n) for n in range(0x80, 0xA0)}
+# Names that HTML also accepts without a semicolon, and how long they can be.
+BARE_NAMES = {name: char for name, char in html5.items() if not name.endswith(";")}
+BARE_LENGTHS = range(max(map(len, BARE_NAMES)), min(map(len, BARE_NAMES)) - 1, -1)
 
 
-def _numeric(text: Column) -> Column:
-    """Replace each distinct numeric reference; the fold runs once per distinct code in the row."""
-    codes = F.array_distinct(F.regexp_extract_all(text, F.lit(NUMERIC_REF), F.lit(1)))
+def _table(pairs: dict[str, str]) -> Column:
+    """A map that is folded into one constant; its look-up is a scan, so frequent and short lists come first."""
+    return F.str_to_map(F.lit("\u0001".join(f"{k}\u0002{v}" for k, v in sorted(pairs.items()))), F.lit("\u0001"), F.lit("\u0002"))
 
-    def replaced(acc: Column, code: Column) -> Column:
-        hexed = F.lower(code).startswith("x")
-        number = F.when(hexed, F.conv(F.substring(code, 2, 8), 16, 10)).otherwise(code).cast("bigint")
-        return F.replace(acc, F.concat(F.lit("&#"), code, F.lit(";")), _code_point(number))
 
-    return F.aggregate(codes, text, replaced)
+def _numbered_character(ref: Column) -> Column:
+    """The character of `#65;` or `#x41`: none for control codes, the replacement mark for what is no character."""
+    hexed = F.lower(F.substring(ref, 2, 1)) == "x"
+    digits = F.regexp_replace(F.regexp_replace(ref, r"^#[xX]?0*|;$", ""), "^$", "0")
+    # Nine digits and more are beyond the last character in either base.
+    code = F.when(F.length(digits) > 8, F.lit(0x110000)).when(hexed, F.conv(digits, 16, 10)).otherwise(digits).cast("bigint")
 
+    def character(n: Column) -> Column:
+        renamed = F.try_element_at(_table({str(k): v for k, v in RENUMBERED.items()}), n.cast("string"))
+        control = n.between(1, 31) & ~n.isin(9, 10, 12, 13) | n.between(0x7F, 0x9F) | n.between(0xFDD0, 0xFDEF) | ((n % 0x10000) >= 0xFFFE)
+        valid = n.between(1, 0xD7FF) | n.between(0xE000, 0x10FFFF)
+        plain = F.decode(F.unhex(F.lpad(F.hex(F.when(valid, n).otherwise(F.lit(0xFFFD))), 8, "0")), "UTF-32")
+        return F.coalesce(renamed, F.when(~valid, F.lit("\ufffd")).when(control, F.lit("")), plain)
 
-def _named(text: Column) -> Column:
-    """Replace each distinct named reference but the ampersand; unknown names stay."""
-    known = "\u0001".join(f"{name[:-1]}\u0002{char}" for name, char in sorted(html5.items()) if name.endswith(";") and name != "amp;")
-    table = F.str_to_map(F.lit(known), F.lit("\u0001"), F.lit("\u0002"))  # folded into one constant
-    names = F.array_distinct(F.regexp_extract_all(text, F.lit(NAMED_REF), F.lit(1)))
+    return let(code, character)
 
-    def replaced(acc: Column, name: Column) -> Column:
-        char = F.try_element_at(table, name)
-        return F.when(char.isNull(), acc).otherwise(F.replace(acc, F.concat(F.lit("&"), name, F.lit(";")), char))
 
-    return F.aggregate(names, text, replaced)
+def _named_character(name: Column) -> Column:
+    """The character of a name, or of the longest known name it begins with, followed by the rest."""
+    full = _table({k: v for k, v in html5.items() if k.endswith(";")})
+    bare = _table(BARE_NAMES)
+    longest = [
+        F.concat(F.try_element_at(bare, F.substring(name, 1, n)), F.substring(name, n + 1, 40)) for n in BARE_LENGTHS
+    ]
+    often = F.try_element_at(_table({k[1:]: v for k, v in NAMED}), name)
+    return F.coalesce(often, F.when(name.endswith(";"), F.try_element_at(full, name)), *longest, F.concat(F.lit("&"), name))
+
+
+def _after_ampersand(part: Column) -> Column:
+    """The text from one ampersand to the next: its reference, if there is one, and what follows."""
+
+    def resolved(ref: Column) -> Column:
+        char = F.when(ref == "", F.lit("&")).when(ref.startswith("#"), _numbered_character(ref)).otherwise(_named_character(ref))
+        return F.concat(char, F.substr(part, F.length(ref) + 1))
+
+    return let(F.regexp_extract(part, REFERENCE, 0), resolved)
 
 
 def _references(text: Column) -> Column:
-    """All references of a text that holds at least one ampersand; the named ampersand last."""
-    out = F.when(F.contains(text, F.lit("&#")), _numeric(text)).otherwise(text)
-    return F.replace(_named(out), F.lit("&amp;"), F.lit("&"))
+    """One pass from left to right: what a reference gives is never read again."""
+    parts = F.split(text, "&", -1)
+    rest = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), _after_ampersand)
+    return F.concat(F.get(parts, F.lit(0)), F.array_join(rest, ""))
 
 
 def decode_entities(col: Column) -> Column:

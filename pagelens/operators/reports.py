@@ -269,13 +269,17 @@ def source_comparison(content: DataFrame) -> DataFrame:
     )
 
 
-def page_of(df: DataFrame, order: Sequence[str], page: int = 1, size: int = 10, max_size: int = 1000) -> DataFrame:
-    """One page of ordered rows; missing or odd numbers get defaults, a page beyond `max_size` is an error."""
+def paging(page: object, size: object, max_size: int = 1000) -> tuple[int, int, str | None]:
+    """Usable page and size, and what was wrong with a size that had to be cut."""
     page = page if isinstance(page, int) and page >= 1 else 1
-    if not isinstance(size, int) or size < 1:
-        size = 10
-    if size > max_size:
-        raise ValueError(f"a page holds at most {max_size} rows, not {size}")
+    size = size if isinstance(size, int) and size >= 1 else 10
+    error = f"a page holds at most {max_size} rows, not {size}" if size > max_size else None
+    return page, min(size, max_size), error
+
+
+def page_of(df: DataFrame, order: Sequence[str], page: int = 1, size: int = 10, max_size: int = 1000) -> DataFrame:
+    """One page of ordered rows; `paging` says what it makes of odd numbers."""
+    page, size, _ = paging(page, size, max_size)
     return df.orderBy(*order).offset((page - 1) * size).limit(size)
 
 

@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from pagelens.session import bounded_broadcast, scratch_path
+
 HOT_ROWS = 1_000_000
 HOT_KEYS_MAX = 100_000
-BLOCK_WIDTH = 1 << 20
 
 
 def lookup(
@@ -40,42 +41,46 @@ def lookup(
     return on_hot.unionByName(on_cold)
 
 
-def numbered(
-    df: DataFrame,
-    order: str,
-    group: Sequence[str] = (),
-    running: Mapping[str, Column] | None = None,
-    width: int = BLOCK_WIDTH,
-) -> DataFrame:
-    """Add `position` (1-based) and running sums within each group, by a unique integer column.
+def _written(df: DataFrame, name: str) -> DataFrame:
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, order: str, group: Sequence[str] = (), running: Mapping[str, Column] | None = None) -> DataFrame:
+    """Add `position` (1-based) and running sums within each group, by a unique column.
 
-    A plain window would sort a whole group in one task. Here ids are cut into
-    blocks of `width`: windows run inside a block, block totals are prefixed
-    (one row per block), and both are joined on the block.
+    A plain window would sort a whole group in one task. Here the rows are written once, dealt out by ranges of (group, order),
+    so a hot group spans as many partitions as its rows need, whatever its ids look like. Sorted partitions number their
+    rows; the totals of each partition and group (groups + partitions rows) are prefixed and joined back as offsets.
+    Null groups are a group.
     """
     running = dict(running or {})
     group = list(group)
-    keys = [*group, "__block"]
-    out = df.withColumns({"__block": F.floor(F.col(order) / width), **{f"__{k}": c for k, c in running.items()}})
-    inside = W.partitionBy(*keys).orderBy(order)
-    so_far = inside.rowsBetween(W.unboundedPreceding, 0)
-    local = out.withColumns(
-        {
-            "__n": F.row_number().over(inside).cast("bigint"),
-            **{f"__run_{k}": F.sum(f"__{k}").over(so_far) for k in running},
-        }
+    once = _written(df.withColumns({f"__{k}": c for k, c in running.items()}), "numbered")
+    ranged = once.repartitionByRange(*group, order).sortWithinPartitions(*group, order)
+    rows = _written(
+        ranged.select("*", F.spark_partition_id().alias("__part"), F.monotonically_increasing_id().alias("__row")), "ranged"
     )
-    totals = out.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("__rows"), *[F.sum(f"__{k}").alias(f"__sum_{k}") for k in running]
+    totals = rows.groupBy(*group, "__part").agg(
+        F.min("__row").alias("__first"), F.count(F.lit(1)).alias("__rows"), *[F.sum(f"__{k}").alias(f"__sum_{k}") for k in running]
     )
-    before = W.partitionBy(*group).orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    before = W.partitionBy(*group).orderBy("__part").rowsBetween(W.unboundedPreceding, -1)
+    so_far = lambda name: F.coalesce(F.sum(name).over(before), F.lit(0))
     offsets = totals.select(
-        *keys,
-        F.coalesce(F.sum("__rows").over(before), F.lit(0)).alias("__rows_before"),
-        *[F.coalesce(F.sum(f"__sum_{k}").over(before), F.lit(0)).alias(f"__{k}_before") for k in running],
+        *[F.col(g).alias(f"__of_{g}") for g in group],
+        F.col("__part").alias("__of_part"),
+        (so_far("__rows") - F.col("__first") + 1).alias("__shift"),
+        *[so_far(f"__sum_{k}").alias(f"__{k}_before") for k in running],
     )
-    return local.join(offsets, keys).select(
+    if running:
+        inside = W.partitionBy(*group, "__part").orderBy("__row").rowsBetween(W.unboundedPreceding, 0)
+        rows = rows.withColumns({f"__run_{k}": F.sum(f"__{k}").over(inside) for k in running})
+    same = F.col("__part") == F.col("__of_part")
+    for g in group:
+        same = same & F.col(g).eqNullSafe(F.col(f"__of_{g}"))
+    return rows.join(bounded_broadcast(_written(offsets, "offsets")), same).select(
         *df.columns,
-        (F.col("__n") + F.col("__rows_before")).alias("position"),
+        (F.col("__row") + F.col("__shift")).alias("position"),
         *[(F.col(f"__run_{k}") + F.col(f"__{k}_before")).alias(k) for k in running],
     )

@@ -469,7 +469,8 @@ def invalid_content(spark, sf):
         "source",
         "doc_id",
         checks.content_rejection(t).alias("reason"),
-        checks.preview(t, 100, always_mark=False).alias("preview"),
+        # Valid rows only count, so their previews stay at the scan.
+        F.when(checks.content_rejection(t).isNotNull(), checks.preview(t, 100, always_mark=False)).alias("preview"),
     )
     return numbered(rows, "doc_id", ["source"]).filter("reason IS NOT NULL").select(
         "source", (F.col("position") - 1).alias("idx"), "preview", "reason"

@@ -83,6 +83,32 @@ def test_long_tag_does_not_overflow(spark):
 def test_all_named_references_and_unclosed_blocks(one):
     from pagelens.functions.html import decode_entities, visible_text
 
-    assert one(lambda c: decode_entities(F.col("x")), "caf&eacute; M&uuml;nchen &rsquo;&laquo; &amp;lt; &unknown; &AMP") == "café München ’« &lt; &unknown; &AMP"
+    assert one(lambda c: decode_entities(F.col("x")), "caf&eacute; M&uuml;nchen &rsquo;&laquo; &amp;lt; &unknown; &AMP") == "café München ’« &lt; &unknown; &"
     shown = one(lambda c: visible_text(html.without_code(F.col("x"))), "<p>a</p><script>var x=1;")
     assert shown.strip() == "a"
+
+
+REFERENCES = [
+    "", "plain", "&", "&&", "& &", "a & b", "AT&T", "&;", "&#;", "&#x;", "&lt;b&gt;", "&#38;lt;b&#38;gt;", "&AMP;lt; &LT", "&amp;amp;lt;",
+    "&copy 2020 &eacute", "&copy2020", "&notit; &notin; &not", "&ampamp;", "&nbspx", "&frac12;&frac1", "&unknown; &unknown", "&#65&#66;C",
+    "&#x41;&#X42&#x43", "&#0;&#00000000000065;&#x80;&#150;&#x9f;&#129;", "&#1;&#11;&#12;&#13;&#127;&#xfdd0;&#x1ffff;", "&#xD800;&#x110000;&#99999999999;",
+    "&#x10FFFF;&#x10FFFD;&#128512;", "&NotEqualTilde;&ngE;&fjlig;", "&CounterClockwiseContourIntegral;", "x&eacute;&Eacute;&ecute;", "&lt&lt;&ltlt",
+    "&a b;", "&\t&\n", "\u00e9&eacute;\u4e2d&#20013;", "&quot;&apos;&QUOT", "&" + "a" * 40 + ";", "&amp", "&gt;&GT;&gT;", "&#38;amp;lt;", "a&lt", "&#9;|&#10;|&#32;",
+]
+
+
+def test_references_equal_those_of_html(spark):
+    from html import unescape
+
+    df = spark.createDataFrame([(t,) for t in REFERENCES], "t string")
+    for r in df.select("t", html.decode_entities(F.col("t")).alias("out")).collect():
+        assert r["out"] == unescape(r["t"]), r["t"]
+
+
+def test_decoded_markup_stays_text(spark):
+    page = "<title>&#38;lt;b&#38;gt; &copy 2020</title><h1>1 &lt 2 &amp;amp; 3</h1><a href='/x?a=1&amp;b=2'>&lt;i&gt;</a><p>&AMP;lt; &amp;copy;</p>"
+    row = html.parse_pages(spark.createDataFrame([(1, "https://s.org/", page)], "page_id bigint, url string, html string")).first()
+    assert row["title"] == "&lt;b&gt; \u00a9 2020"
+    assert [h["text"] for h in row["headers"]] == ["1 < 2 &amp; 3"]
+    assert [(x["url"], x["text"]) for x in row["links"]] == [("https://s.org/x?a=1&b=2", "<i>")]
+    assert "&lt; &copy;" in row["text_content"]

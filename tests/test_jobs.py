@@ -51,6 +51,8 @@ def test_paging(spark):
     assert [r["id"] for r in rp.page_of(df, ["id"], 2, 5).collect()] == [5, 6, 7, 8, 9]
     assert rp.page_of(df, ["id"], 0, 0).count() == 10
     assert rp.page_of(df, ["id"], 1, 9999, max_size=7).count() == 7
+    assert rp.paging(3, 7, 7) == (3, 7, None) and rp.paging("x", None) == (1, 10, None)
+    assert rp.paging(2, 9999, 7) == (2, 7, "a page holds at most 7 rows, not 9999")
 
 
 def test_retention_removes_jobs_and_content(spark):

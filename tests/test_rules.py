@@ -82,7 +82,9 @@ def test_names(one, name, clean):
 def test_query_cleaning(one):
     assert one(lambda f: checks.clean_query(f.col("x")), "  a<b>\x07c  ") == "abc"
     assert one(lambda f: checks.clean_query(f.col("x")), "   ") is None
-    assert len(one(lambda f: checks.clean_query(f.col("x")), "q" * 2000)) == 1000
+    # Inputs stay whole; callers are told which are longer than the reported limit.
+    assert one(lambda f: checks.clean_query(f.col("x")), "q" * 2000) == "q" * 2000
+    assert one(lambda f: checks.long_query(f.col("x")), "q" * 2000) and not one(lambda f: checks.long_query(f.col("x")), " " + "q" * 1000)
 
 
 def test_job_checks(spark):
