@@ -11,11 +11,14 @@ hold several clusters, so a large cluster is never paired with itself.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.text import blank_words
+from pagelens.functions.text import blank_word_count, blank_words
+from pagelens.operators.features import sparse_dot, tfidf_rows
 from pagelens.operators.skew import HOT_ROWS, lookup
 from pagelens.session import scratch_path, use_checkpoints
 
@@ -169,24 +172,29 @@ def _can_match(threshold: float, size_a: str, pos_a: str, size_b: str, pos_b: st
     return sizes & (left >= need)
 
 
-def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, block: int = PAIR_BLOCK) -> DataFrame:
-    """Edges (a, b, similarity) that connect every cluster of `sets` (id, words) at the threshold.
-
-    The edges connect exactly the sets that all similar pairs would connect,
-    without listing the pairs inside a cluster.
-    """
-    postings = _written(_prefixes(sets, threshold))
-    n_postings = postings.count()
+def _stars(postings: DataFrame, n_postings: int, threshold: float, hot_rows: int) -> DataFrame:
+    """Distinct (a, b): every set with the lowest id of each posting list that it is in, where the two can still match."""
     heads = postings.groupBy("token").agg(
         F.min(F.struct("id", "size", "pos")).alias("head"), F.count(F.lit(1)).alias("n")
     ).filter("n > 1")
-    stars = (
+    return (
         lookup(postings, heads, "token", hot_rows, n_postings)
         .filter(F.col("id") != F.col("head.id"))
         .filter(_can_match(threshold, "size", "pos", "head.size", "head.pos"))
         .select(F.col("head.id").alias("a"), F.col("id").alias("b"))
         .distinct()
     )
+
+
+def near_edges(sets: DataFrame, threshold: float, hot_rows: int = HOT_ROWS, block: int = PAIR_BLOCK) -> DataFrame:
+    """Edges (a, b, similarity) that connect every cluster of `sets` (id, words) at the threshold.
+
+    The edges connect exactly the sets that all similar pairs would connect,
+    without listing the pairs inside a cluster.
+    """
+    postings = _written(_prefixes(sets, threshold))
+    n_postings = postings.count()
+    stars = _stars(postings, n_postings, threshold, hot_rows)
     first = _cut(_similar(_cut(stars), sets, threshold, hot_rows))
     labels = components(first, hot_rows)
     tagged = _written(
@@ -272,37 +280,43 @@ def keep_lowest(df: DataFrame, key: str, assigned: DataFrame) -> DataFrame:
 
 
 def duplicate_rows(
-    df: DataFrame, key: str, text: str, assigned: DataFrame, threshold: float = 0.8, hot_rows: int = HOT_ROWS
+    df: DataFrame, key: str, text: str, assigned: DataFrame, threshold: float = 0.8, hot_rows: int = HOT_ROWS, stop_words: Sequence[str] = ()
 ) -> DataFrame:
     """M8: one row per duplicate against its keeper, with both similarities and the decision."""
     pairs = _cut(assigned.filter("id <> keeper").select(F.col("keeper").alias("content1_id"), F.col("id").alias("content2_id")))
-    return score_pairs(pairs, df, key, text, threshold, hot_rows)
+    return score_pairs(pairs, df, key, text, threshold, hot_rows, stop_words)
+
+
+def profiles(df: DataFrame, key: str, text: str, stop_words: Sequence[str] = ()) -> DataFrame:
+    """(id, words: distinct, length: all words, indices, weights: TF-IDF of unit length), written once for any number of pairs."""
+    base = df.select(F.col(key).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("t"))
+    sets = base.select("id", word_set(F.col("t")).alias("words"), blank_word_count(F.col("t")).alias("length"))
+    return _written(sets.join(tfidf_rows(base, "id", "t", stop_words).rows, "id"))
+
+
+def pair_measures(pairs: DataFrame, own: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """M6 and M7 of given pairs (content1_id, content2_id): jaccard_similarity, cosine_similarity, length_ratio.
+
+    The first of a pair may be a hub; the second is joined by a shuffle.
+    """
+    side = lambda n: own.select(*[F.col(c).alias(f"{c}{n}") for c in own.columns])
+    heads = pairs.groupBy("content1_id").agg(F.count(F.lit(1)).alias("n")).join(side(1).withColumnRenamed("id1", "content1_id"), "content1_id")
+    full = lookup(pairs, heads, "content1_id", hot_rows, pairs.count()).join(side(2).withColumnRenamed("id2", "content2_id"), "content2_id")
+    longer = F.greatest("length1", "length2").cast("double")
+    return full.select(
+        "content1_id",
+        "content2_id",
+        sparse_dot("indices1", "weights1", "indices2", "weights2").alias("cosine_similarity"),
+        jaccard(F.col("words1"), F.col("words2")).alias("jaccard_similarity"),
+        F.when(longer > 0, F.least("length1", "length2") / longer).otherwise(F.lit(1.0)).alias("length_ratio"),
+    )
 
 
 def score_pairs(
-    pairs: DataFrame, df: DataFrame, key: str, text: str, threshold: float = 0.8, hot_rows: int = HOT_ROWS
+    pairs: DataFrame, df: DataFrame, key: str, text: str, threshold: float = 0.8, hot_rows: int = HOT_ROWS, stop_words: Sequence[str] = ()
 ) -> DataFrame:
-    """M8 for given pairs (content1_id, content2_id): Jaccard, word-count cosine, flag, confidence."""
-    words = df.select(F.col(key).alias("id"), F.lower(text).alias("t"))
-    heads = (
-        pairs.groupBy("content1_id")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .join(words.select(F.col("id").alias("content1_id"), F.col("t").alias("t1")), "content1_id")
-    )
-    full = lookup(pairs, heads, "content1_id", hot_rows, pairs.count()).join(
-        words.select(F.col("id").alias("content2_id"), F.col("t").alias("t2")), "content2_id"
-    )
-    full = full.withColumns({"w1": word_set(F.col("t1")), "w2": word_set(F.col("t2"))})
-    # Binary term vectors over the joint vocabulary: dot product = shared words.
-    shared = F.size(F.array_intersect("w1", "w2")).cast("double")
-    norms = F.sqrt(F.size("w1").cast("double")) * F.sqrt(F.size("w2").cast("double"))
-    full = full.withColumns(
-        {
-            "jaccard_similarity": jaccard(F.col("w1"), F.col("w2")),
-            "cosine_similarity": F.when(norms > 0, shared / norms).otherwise(F.lit(0.0)),
-        }
-    )
-    return full.select(
+    """M8 for given pairs (content1_id, content2_id): TF-IDF cosine, Jaccard, flag, confidence."""
+    return pair_measures(pairs, profiles(df, key, text, stop_words), hot_rows).select(
         "content1_id",
         "content2_id",
         "cosine_similarity",
@@ -311,3 +325,13 @@ def score_pairs(
         F.abs(F.col("jaccard_similarity") - threshold).alias("confidence"),
         F.lit(threshold).alias("threshold_used"),
     )
+
+
+def candidate_pairs(df: DataFrame, key: str, text: str, threshold: float = 0.4, hot_rows: int = HOT_ROWS) -> DataFrame:
+    """(content1_id, content2_id): each text with the lowest id that shares one of its rare words, whether similar or not.
+
+    Linear in the posting lists; at the low default threshold most texts that are copied in part are met.
+    """
+    sets = _written(df.select(F.col(key).alias("id"), word_set(F.col(text)).alias("words")).filter(F.size("words") > 0))
+    postings = _written(_prefixes(sets, threshold))
+    return _cut(_stars(postings, postings.count(), threshold, hot_rows).select(F.col("a").alias("content1_id"), F.col("b").alias("content2_id")))

@@ -3,24 +3,32 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
+from pyspark.ml.feature import CountVectorizerModel, ElementwiseProduct, Normalizer
+from pyspark.ml.linalg import Vectors
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pagelens.functions.arrays import add_run_counts
+from pagelens.functions.arrays import add_run_counts, let
 from pagelens.functions.text import ngram_terms, with_bigrams
+from pagelens.session import scratch_path
 
 MAX_TERMS = 5_000
 
 
-def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -> DataFrame:
-    """T5: (key, term, n) for words and adjacent pairs; counted inside the row, so nothing is shuffled here."""
+def term_runs(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """T5: (key, runs: array of (word, n, first_pos)) for words and adjacent pairs, counted inside the row."""
     out = df.select(key, ngram_terms(F.col(text), stop_words).alias("words"))
     # Materialise the words before pairing, so that the pairing lambda sees a plain column.
     out = out.withColumn("terms", F.get(F.transform(F.array("words"), with_bigrams), F.lit(0)))
-    out = add_run_counts(out, "terms", "runs")
-    return out.select(key, F.explode_outer("runs").alias("r")).select(key, "r.word", "r.n").filter("word IS NOT NULL")
+    return add_run_counts(out, "terms", "runs").select(key, "runs")
+
+
+def term_counts(df: DataFrame, key: str, text: str, stop_words: Sequence[str]) -> DataFrame:
+    """T5: (key, term, n), without a shuffle."""
+    runs = term_runs(df, key, text, stop_words)
+    return runs.select(key, F.explode_outer("runs").alias("r")).select(key, "r.word", "r.n").filter("word IS NOT NULL")
 
 
 def vocabulary(counts: DataFrame, n_docs, max_terms: int = MAX_TERMS, max_df: float = 0.95) -> DataFrame:
@@ -37,14 +45,60 @@ def vocabulary(counts: DataFrame, n_docs, max_terms: int = MAX_TERMS, max_df: fl
     )
 
 
+@dataclass(frozen=True)
+class Weights:
+    """TF-IDF rows as sparse arrays: `rows` has (key, indices ascending, weights of unit length) of every document."""
+
+    rows: DataFrame
+    words: list[str]  # at most `max_terms`, by index
+
+
+def tfidf_rows(df: DataFrame, key: str, text: str, stop_words: Sequence[str], max_terms: int = MAX_TERMS) -> Weights:
+    """M1: the texts are split once and their counts written; weighing and scaling stay inside each row."""
+    spark = df.sparkSession
+    path = scratch_path(spark, "terms")
+    runs = term_runs(df, key, text, stop_words)
+    runs.write.parquet(path)
+    runs = spark.read.schema(runs.schema).parquet(path)
+    counts = runs.select(F.explode("runs").alias("r")).select("r.word", "r.n")
+    listed = vocabulary(counts, F.lit(runs.count()), max_terms).orderBy("word").collect()
+    if not listed:
+        empty = runs.select(key, F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("weights"))
+        return Weights(empty, [])
+    words = [r["word"] for r in listed]
+    repeated = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["word"], r["n"].cast("int"))))
+    terms = runs.select(key, F.coalesce(repeated, F.array().cast("array<string>")).alias("terms"))  # none for a null text
+    counter = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="counts")
+    weigh = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in listed]), inputCol="counts", outputCol="weighed")
+    scaled = Normalizer(inputCol="weighed", outputCol="scaled").transform(weigh.transform(counter.transform(terms)))
+    vector = scaled.select(key, F.unwrap_udt("scaled").alias("v"))
+    return Weights(vector.select(key, F.col("v.indices").alias("indices"), F.col("v.values").alias("weights")), words)
+
+
 def tfidf(df: DataFrame, key: str, text: str, stop_words: Sequence[str], max_terms: int = MAX_TERMS) -> DataFrame:
-    """M1: (key, word, weight) with rows of unit length. The vocabulary is bounded, so it is broadcast."""
-    counts = term_counts(df, key, text, stop_words)
-    n_docs = df.select(F.count(F.lit(1)).alias("c")).scalar()
-    vocab = vocabulary(counts, n_docs, max_terms)
-    raw = counts.join(F.broadcast(vocab), "word").withColumn("w", F.col("n") * F.col("idf"))
-    norm = F.sqrt(F.sum(F.col("w") * F.col("w")).over(W.partitionBy(key)))
-    return raw.select(key, "word", (F.col("w") / norm).alias("weight"))
+    """M1: (key, word, weight) with rows of unit length; the vocabulary is bounded, and no row is shuffled."""
+    found = tfidf_rows(df, key, text, stop_words, max_terms)
+    names = F.split(F.lit("\u0001".join(found.words)), "\u0001")  # one constant
+    flat = found.rows.select(key, F.explode(F.arrays_zip("indices", "weights")).alias("x"))
+    return flat.select(key, F.get(names, F.col("x.indices")).alias("word"), F.col("x.weights").alias("weight"))
+
+
+def sparse_dot(a: str, wa: str, b: str, wb: str) -> Column:
+    """Dot product of two sparse rows: both lists sorted together, neighbours of one index multiplied."""
+
+    def side(i: str, w: str) -> Column:
+        return F.transform(F.arrays_zip(F.col(i).alias("i"), F.col(w).alias("w")), lambda x: F.struct(x["i"].alias("i"), x["w"].alias("w")))
+
+    def products(both: Column) -> Column:
+        after = F.slice(both, 2, F.greatest(F.size(both) - 1, F.lit(0)))
+        return F.aggregate(
+            F.zip_with(after, both, lambda x, y: F.when(x["i"] == y["i"], x["w"] * y["w"]).otherwise(F.lit(0.0))),
+            F.lit(0.0),
+            # zip_with pads the shorter list with a null.
+            lambda s, x: s + F.coalesce(x, F.lit(0.0)),
+        )
+
+    return let(F.sort_array(F.concat(side(a, wa), side(b, wb))), products)
 
 
 def pair_cosine(weights: DataFrame, pairs: DataFrame, key: str) -> DataFrame:

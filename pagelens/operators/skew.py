@@ -11,33 +11,57 @@ from pyspark.sql import functions as F
 from pagelens.session import bounded_broadcast, scratch_path
 
 HOT_ROWS = 1_000_000
+#: Hot keys, and bytes of their rows, that may be broadcast.
 HOT_KEYS_MAX = 100_000
+HOT_BYTES_MAX = 64 << 20
+#: Salts of every key where there are too many hot ones to list.
+SALTS = 32
+
+
+def _bytes(df: DataFrame) -> int:
+    """About how many bytes the rows hold, from their written form."""
+    return int(df.agg(F.sum(F.octet_length(F.to_json(F.struct(*df.columns))))).first()[0] or 0)
+
+
+def _salted(left: DataFrame, right: DataFrame, key: str, salts: Column) -> DataFrame:
+    """Join on (key, salt): `left` has the column `__salts`, `right` is repeated for each of `salts`."""
+    # The row's place is part of the hash, so equal rows spread as well.
+    spot = F.pmod(F.xxhash64(F.monotonically_increasing_id(), F.spark_partition_id()), F.col("__salts")).cast("int")
+    many = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), salts.cast("int") - 1)))
+    return left.withColumn("__salt", spot).drop("__salts").join(many, [key, "__salt"]).drop("__salt")
 
 
 def lookup(
-    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, left_rows: int | None = None
+    left: DataFrame, right: DataFrame, key: str, hot_rows: int = HOT_ROWS, left_rows: int | None = None,
+    hot_keys: int = HOT_KEYS_MAX, hot_bytes: int = HOT_BYTES_MAX,
 ) -> DataFrame:
     """Inner join of `left` with one row per key; `right.n` is the number of left rows of its key.
 
     With `left_rows` known and within `hot_rows` no key can be hot, so the plain join is used.
 
-    Keys over `hot_rows` are few (at most rows / hot_rows), so their rows are
-    broadcast and the hot part of `left` is never shuffled. All other keys are
-    small by definition and use a plain shuffle join. Should the hot keys
-    outgrow the checked bound, the shuffle join with runtime skew splitting
-    takes over. Both inputs should be cheap to read twice (written or checkpointed).
+    Keys over `hot_rows` are few (at most rows / hot_rows). While their rows hold at most `hot_bytes`, they are
+    broadcast and the hot part of `left` is never shuffled. Beyond that only the keys are broadcast, and a hot key is
+    dealt out to as many salts as its rows need. All other keys are small by definition and use a plain shuffle join.
+    Should even the hot keys be too many to list, every key is salted. Both inputs should be cheap to read twice
+    (written or checkpointed).
     """
     if left_rows is not None and left_rows <= hot_rows:
         return left.join(right.drop("n"), key)
-    hot = right.filter(F.col("n") > hot_rows).drop("n")
-    n_hot = hot.limit(HOT_KEYS_MAX + 1).count()
+    hot = right.filter(F.col("n") > hot_rows)
+    n_hot = hot.limit(hot_keys + 1).count()
     plain = right.drop("n")
-    if n_hot == 0 or n_hot > HOT_KEYS_MAX:
+    if n_hot == 0:
         return left.join(plain, key)
+    if n_hot > hot_keys:
+        return _salted(left.withColumn("__salts", F.lit(SALTS)), plain, key, F.lit(SALTS))
+    parts = F.ceil(F.col("n") / hot_rows)
+    keys = F.broadcast(hot.select(key, parts.alias("__salts")))
+    if _bytes(hot) <= hot_bytes:
+        on_hot = left.join(F.broadcast(hot.drop("n")), key)
+    else:
+        on_hot = _salted(left.join(keys, key), hot.withColumn("__parts", parts), key, F.col("__parts")).drop("n", "__parts")
     cold = right.filter(F.col("n") <= hot_rows).drop("n")
-    small = F.broadcast(hot)
-    on_hot = left.join(small, key)
-    on_cold = left.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key)
+    on_cold = left.join(keys, key, "left_anti").join(cold, key)
     return on_hot.unionByName(on_cold)
 
 

@@ -10,6 +10,7 @@ from pagelens.operators import duplicates as dup
 from pagelens.operators import features as ft
 from pagelens.operators import lexicon as lx
 from pagelens.operators import models as md
+from pagelens.operators import pair_model as pm
 from pagelens.operators.reports import job_status as status_of
 from pagelens.plans import parameters as P
 from pagelens.plans import sql as S
@@ -126,16 +127,19 @@ def deduplicated_documents(spark, sf):
 @ENTRIES.add(
     "duplicate_rows",
     "M7 M8 J3",
-    f"""WITH RECURSIVE {_CLUSTERS}, r AS (SELECT c.keeper, c.id, x.w AS w1, y.w AS w2, len(list_intersect(x.w, y.w)) AS s FROM clusters c
+    f"""WITH RECURSIVE {_CLUSTERS}, {_FEATURES}, r AS (SELECT c.keeper, c.id, x.w AS w1, y.w AS w2, len(list_intersect(x.w, y.w)) AS s FROM clusters c
         JOIN sets x ON x.id = c.keeper JOIN sets y ON y.id = c.id WHERE c.id <> c.keeper),
-    q AS (SELECT *, s::DOUBLE / (len(w1) + len(w2) - s)::DOUBLE AS j FROM r)
-    SELECT keeper AS content1_id, id AS content2_id, round(s::DOUBLE / (sqrt(len(w1)::DOUBLE) * sqrt(len(w2)::DOUBLE)), 6) AS cosine_similarity,
+    q AS (SELECT *, s::DOUBLE / (len(w1) + len(w2) - s)::DOUBLE AS j FROM r),
+    dots AS (SELECT keeper, id, round(coalesce(sum(x.weight * y.weight), 0.0::DOUBLE), 6) AS dot FROM r LEFT JOIN weights x ON x.doc_id = keeper
+        LEFT JOIN weights y ON y.doc_id = id AND y.word = x.word GROUP BY ALL)
+    SELECT keeper AS content1_id, id AS content2_id, dot AS cosine_similarity,
         j AS jaccard_similarity, j >= 0.8::DOUBLE AS is_duplicate, abs(j - 0.8::DOUBLE) AS confidence, 0.8::DOUBLE AS threshold_used,
-        a.source AS source1, b.source AS source2 FROM q JOIN documents a ON a.doc_id = q.keeper JOIN documents b ON b.doc_id = q.id""",
+        a.source AS source1, b.source AS source2 FROM q JOIN dots USING (keeper, id) JOIN documents a ON a.doc_id = q.keeper
+        JOIN documents b ON b.doc_id = q.id""",
 )
 def duplicate_rows(spark, sf):
     d = tb.table(spark, sf, "documents")
-    rows = dup.duplicate_rows(d, "doc_id", "text", dup.clusters(docs(spark, sf), "doc_id", "text", THRESHOLD), THRESHOLD)
+    rows = dup.duplicate_rows(d, "doc_id", "text", dup.clusters(docs(spark, sf), "doc_id", "text", THRESHOLD), THRESHOLD, stop_words=STOP)
     # Both sides of every duplicate meet their content row again.
     one = d.select(F.col("doc_id").alias("content1_id"), F.col("source").alias("source1"))
     two = d.select(F.col("doc_id").alias("content2_id"), F.col("source").alias("source2"))
@@ -144,6 +148,16 @@ def duplicate_rows(spark, sf):
     )
 
 
+@ENTRIES.add("learned_duplicates", "M8")
+def learned_duplicates(spark, sf):
+    return pm.learned(docs(spark, sf), "doc_id", "text", STOP)[0]
+
+
+@ENTRIES.add("learned_duplicates_report", "M8 M11")
+def learned_duplicates_report(spark, sf):
+    return pm.learned(docs(spark, sf), "doc_id", "text", STOP)[1]
+
+
 _NAMES = [(f"n_{c}", c) for c in seeds.LANGUAGES]
 
 
@@ -298,13 +312,14 @@ def cancelled_jobs_stop(spark, sf):
 )
 def replayed_events(spark, sf):
     out = scratch_path(spark, "replay")
+    schema = "event_id bigint, ts timestamp, event_type string, value double"
 
     def once() -> DataFrame:
         rows = ingest.landed(spark, f"{sf}/events.parquet", "events")
         return rows.select("event_id", F.col("ts").cast("timestamp").alias("ts"), "event_type", "value")
 
-    # Every event is delivered twice.
-    unique = ingest.once_per_key(once().union(once()), "event_id", "ts", "60 days")
-    ingest.to_table(unique, f"{out}/rows", f"{out}/checkpoint").awaitTermination()
-    rows = spark.read.schema("event_id bigint, ts timestamp, event_type string, value double").parquet(f"{out}/rows")
+    # The first stream delivers every event twice; the second, with a checkpoint of its own, delivers all of them once more.
+    for stream, rows in (("first", once().union(once())), ("again", once())):
+        ingest.take_new(rows, "event_id", f"{out}/keys", f"{out}/rows", f"{out}/checkpoint-{stream}", stream, buckets=16).awaitTermination()
+    rows = spark.read.schema(schema).parquet(f"{out}/rows")
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("value"), 4).alias("value"))
