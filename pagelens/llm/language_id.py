@@ -34,9 +34,8 @@ from pagelens.llm.words import byte_table, slices, text_bytes
 from pagelens.operators.skew import lookup
 from pagelens.session import scratch_path
 
-#: Rows of each language that training reads at most, and bytes of each.
+#: Rows of each language that training reads at most; each of them whole.
 SAMPLE = 500
-SAMPLE_BYTES = 1 << 14
 BUCKETS = 1 << 16
 TEXT_WEIGHT = 200.0
 #: Rows that a level of the host hierarchy counts as, seen from the level below.
@@ -89,7 +88,7 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 def train_text(df: DataFrame, text: str, declared: str, sample: int = SAMPLE) -> TextModel:
     known = df.filter(F.col(declared).isNotNull() & F.col(text).isNotNull()).select(
-        F.col(declared).alias("k"), F.substring(text, 1, SAMPLE_BYTES).alias("t"), F.xxhash64(text).alias("o")
+        F.col(declared).alias("k"), F.col(text).alias("t"), F.xxhash64(text).alias("o")
     )
     common = df.filter(F.col(declared).isNotNull()).groupBy(F.col(declared).alias("k")).count()
     sizes = {r["k"]: r["count"] for r in common.orderBy(F.desc("count"), "k").limit(MOST_LANGUAGES).collect()}

@@ -33,9 +33,8 @@ from pyspark.sql import types as T
 from pagelens.llm.shipping import map_arrow
 from pagelens.llm.words import ALPHANUMERIC, slices, split_words, texts_of
 
-#: Labelled texts of each class that training and calibration read at most, and bytes of each text that they read.
+#: Labelled texts of each class that training and calibration read at most; each of them whole.
 SAMPLE = 1500
-SAMPLE_BYTES = 1 << 14
 WINDOW_WORDS = (5, 8, 13)
 TRAIN_WINDOW = 16
 LEVEL = 6
@@ -116,17 +115,14 @@ class Model:
 def _sample(
     df: DataFrame, key: str, text: str, labels: DataFrame, label_key: str, label: str, sample: int
 ) -> tuple[list[tuple[str, int]], list[int]]:
-    """(text, label) of at most `sample` labelled texts of each class, by a hash, and the counts of all labels.
-
-    Texts are cut to SAMPLE_BYTES here only; scoring reads whole texts.
-    """
+    """(text, label) of at most `sample` labelled texts of each class, by a hash, and the counts of all labels."""
     marks = labels.filter(F.col(label).isin(0, 1) & F.col(label_key).isNotNull()).select(
         F.col(label_key).alias("key"), F.col(label).cast("int").alias("y")
     )
     # Labels are chosen before any text is read, so a bounded number of keys is broadcast and no text is shuffled.
     order = F.xxhash64("key", "y")
     chosen = [marks.filter(F.col("y") == y).distinct().orderBy(order, "key").limit(sample) for y in (0, 1)]
-    both = df.select(F.col(key).alias("key"), F.substring(text, 1, SAMPLE_BYTES).alias("text")).join(
+    both = df.select(F.col(key).alias("key"), F.col(text).alias("text")).join(
         F.broadcast(chosen[0].union(chosen[1])), "key"
     )
     read = both.filter(F.col("text").isNotNull()).select("text", "y").limit(4 * sample).toArrow()
