@@ -13,6 +13,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.functions.arrays import let
 from pagelens.functions.text import blank_word_count, tokens
 from pagelens.session import bounded_broadcast
 
@@ -95,6 +96,22 @@ def add_compound(df: DataFrame, text: str, lexicon: Sequence[Sequence]) -> DataF
     )
 
 
+def emotion_sums(names: Sequence[str], has: Callable[[str], Column]) -> list[Column]:
+    return [F.count(F.when(has(e), 1)).cast("double").alias(f"felt_{e}") for e in names]
+
+
+def emotion_columns(names: Sequence[str]) -> dict[str, Column]:
+    """N4 from the hits: the dominant emotion (first wins ties) and all shares; null without a hit."""
+    felt = [F.col(f"felt_{e}") for e in names]
+    total = sum(felt[1:], felt[0])
+    best = F.greatest(*felt) if len(felt) > 1 else felt[0]
+    dominant = F.when(total == 0, F.lit(None).cast("string"))
+    for e in names:
+        dominant = dominant.when(F.col(f"felt_{e}") == best, e)
+    shares = F.array(*[F.struct(F.lit(e).alias("emotion"), F.try_divide(F.col(f"felt_{e}"), total).alias("share")) for e in names])
+    return {"dominant": dominant, "confidence": F.try_divide(best, total), "shares": F.when(total > 0, shares)}
+
+
 def emotions(df: DataFrame, key: str, text: str, lexicon: Sequence[Sequence[str]]) -> DataFrame:
     """Share per emotion (long form), dominant emotion and its share.
 
@@ -102,21 +119,9 @@ def emotions(df: DataFrame, key: str, text: str, lexicon: Sequence[Sequence[str]
     """
     names = list(dict.fromkeys(e for _, e in lexicon))
     lex = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in lexicon], "word string, emotion string"))
-    counts = exploded(df, key, text).join(lex, "word").groupBy(key).agg(
-        *[F.count(F.when(F.col("emotion") == e, 1)).cast("double").alias(e) for e in names]
-    )
-    total = sum((F.col(e) for e in names[1:]), F.col(names[0]))
-    shares = counts.select(key, *[(F.col(e) / total).alias(e) for e in names])
-    best = F.greatest(*[F.col(e) for e in names])
-    dominant = F.when(F.col(names[0]) == best, names[0])
-    for e in names[1:]:
-        dominant = dominant.when(F.col(e) == best, e)
-    return shares.select(
-        key,
-        dominant.alias("dominant"),
-        best.alias("confidence"),
-        F.explode(F.array(*[F.struct(F.lit(e).alias("emotion"), F.col(e).alias("share")) for e in names])).alias("x"),
-    ).select(key, "dominant", "confidence", "x.emotion", "x.share")
+    counts = exploded(df, key, text).join(lex, "word").groupBy(key).agg(*emotion_sums(names, lambda e: F.col("emotion") == e))
+    found = select_columns(counts, key, emotion_columns(names))
+    return found.select(key, "dominant", "confidence", F.explode("shares").alias("x")).select(key, "dominant", "confidence", "x.emotion", "x.share")
 
 
 def language_sums(names: Sequence[str], has: Callable[[str], Column]) -> list[Column]:
@@ -165,8 +170,20 @@ def category_columns(names: Sequence[str]) -> dict[str, Column]:
     return {**shares, "predicted_category": top, "confidence": F.greatest(*shares.values())}
 
 
-def token_categories(df: DataFrame, key: str, text: str, lists: Mapping[str, Sequence[str]]) -> DataFrame:
-    """Share of keyword tokens per category with the best one."""
+def title_hits(title: Column, lists: Mapping[str, Sequence[str]]) -> dict[str, Column]:
+    """Keyword tokens of a title by category, counted in the row: titles are short."""
+    def hits(words: list[str]) -> Column:
+        return let(tokens(F.coalesce(title, F.lit(""))), lambda ws: F.size(F.filter(ws, lambda w: w.isin(*words))).cast("double"))
+
+    return {c: hits(sorted(set(words))) for c, words in lists.items()}
+
+
+def token_categories(df: DataFrame, key: str, text: str, lists: Mapping[str, Sequence[str]], title: str | None = None) -> DataFrame:
+    """Share of keyword tokens per category with the best one, over the title, if there is one, and the text."""
+    if title is not None:
+        # A title is read before its text; the mark between them keeps their words apart.
+        both = F.concat(F.coalesce(F.col(title), F.lit("")), F.lit(" "), F.coalesce(F.col(text), F.lit("")))
+        df, text = df.select(key, both.alias("__full")), "__full"
     rows = [(w, c) for c, words in lists.items() for w in dict.fromkeys(words)]
     lex = F.broadcast(df.sparkSession.createDataFrame(rows, "word string, category string"))
     names = list(lists)
@@ -183,41 +200,50 @@ def list_analyses(
     lexicon: Sequence[Sequence],
     profiles: Mapping[str, Sequence[str]],
     categories: Mapping[str, Sequence[str]],
+    feelings: Sequence[Sequence[str]] = (),
+    title: str | None = None,
 ) -> DataFrame:
-    """N1-N3, N8 and N9 together: one token pass, one broadcast list, one small shuffle.
+    """N1-N4, N8 and N9 together: one token pass, one broadcast list, one small shuffle.
 
-    The three lists become one, with a row per word, so that joining it never repeats a token.
+    The lists become one, with a row per word, so that joining it never repeats a token. A title counts for the category only.
     """
     merged: dict[str, list] = {}
 
     def at(word: str) -> list:
-        return merged.setdefault(word, [word, None, None, None, [], []])
+        return merged.setdefault(word, [word, None, None, None, [], [], []])
 
+    felt = list(dict.fromkeys(e for _, e in feelings))
     for word, *values in lexicon:
         at(word)[1:4] = values
-    for i, groups in ((4, profiles), (5, categories)):
+    by_feeling = {e: [w for w, x in feelings if x == e] for e in felt}
+    for i, groups in ((4, profiles), (5, categories), (6, by_feeling)):
         for name, words in groups.items():
             for word in dict.fromkeys(words):
                 at(word)[i].append(name)
     schema = (
         "word string, valence double, polarity double, subjectivity double, profiles array<string>, "
-        "categories array<string>"
+        "categories array<string>, feelings array<string>"
     )
     lex = F.broadcast(df.sparkSession.createDataFrame([tuple(r) for r in merged.values()], schema))
-    hits = df.select(
-        key, F.length(text).alias("size"), F.explode_outer(tokens(F.col(text))).alias("word")
-    ).join(lex, "word", "left")
     names, kinds = list(profiles), list(categories)
+    titled = title_hits(F.col(title), categories) if title is not None else {}
+    # Titles are counted below the explosion, once a document and not once a token.
+    df = df.select(key, F.col(text).alias("__text"), F.length(text).alias("size"), *[c.alias(f"title_{k}") for k, c in titled.items()])
+    hits = df.select(key, "size", *[f"title_{k}" for k in titled], F.explode_outer(tokens(F.col("__text"))).alias("word")).join(lex, "word", "left")
+    in_title = lambda c: F.max(f"title_{c}") if titled else F.lit(0.0)
     sums = hits.groupBy(key).agg(
         *sentiment_sums(),
         *language_sums(names, lambda n: F.array_contains("profiles", n)),
-        *category_sums(kinds, lambda c: F.array_contains("categories", c)),
+        *[(F.count(F.when(F.array_contains("categories", c), 1)) + in_title(c)).cast("double").alias(f"hits_{c}") for c in kinds],
+        *emotion_sums(felt, lambda e: F.array_contains("feelings", e)),
     )
     packed = {
         "sentiment": sentiment_columns(),
         "language": language_columns(names),
         "category": category_columns(kinds),
     }
+    if felt:
+        packed["emotions"] = emotion_columns(felt)
     return sums.select(
         key, *[F.struct(*[c.alias(n) for n, c in cols.items()]).alias(name) for name, cols in packed.items()]
     )

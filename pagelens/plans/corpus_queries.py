@@ -245,10 +245,24 @@ def model_registry(spark, sf):
 
 @ENTRIES.add("topic_model", "N7")
 def topic_model(spark, sf):
-    rows, perplexity = md.topics(docs(spark, sf), "text", STOP)
+    rows, perplexity = md.topics(docs(spark, sf), "doc_id", "text", STOP)
     return rows.withColumn("log_perplexity", F.lit(perplexity))
 
 
+@ENTRIES.add(
+    "document_topics",
+    "N7",
+    # Which topic a document is of depends on the model; that every document with a counted term has shares that add up does not.
+    f"""WITH {_FEATURES.split('nd AS')[0].rstrip().rstrip(',')}, n AS (SELECT count(*)::DOUBLE AS docs FROM documents),
+    top AS (SELECT word FROM tf, n GROUP BY word HAVING count(*) <= any_value(docs) * 0.8::DOUBLE ORDER BY sum(n.docs * 0 + tf.n) DESC, word LIMIT 100)
+    SELECT d.doc_id, d.doc_id IN (SELECT doc_id FROM tf JOIN top USING (word)) AS has_topics FROM documents d""",
+)
+def document_topics(spark, sf):
+    found = md.topic_model(docs(spark, sf), "doc_id", "text", STOP).mixtures
+    whole = F.abs(F.aggregate("topics", F.lit(0.0), lambda s, x: s + x) - 1) < 1e-6
+    return found.select("doc_id", (F.col("topics").isNotNull() & whole & (F.size("topics") == 3)).alias("has_topics"))
+
+
 # --- incremental jobs ----------------------------------------------------------------------------
 
 

@@ -12,7 +12,9 @@ from pagelens.functions.checks import analysis_guard
 from pagelens.functions.quality import display_quality
 from pagelens.functions.text import add_display_statistics, add_readability, add_statistics, clean_text
 from pagelens.operators import lexicon as lx
-from pagelens.operators.keywords import add_frequent_words
+from pagelens.operators.entities import listed_entities, pattern_entities
+from pagelens.operators.keywords import add_frequent_words, summaries
+from pagelens.operators.models import topic_model
 from pagelens.session import spread
 from pagelens.sources.tables import content_base
 
@@ -40,8 +42,14 @@ def enriched(
     )
 
 
-STEPS = ("statistics", "readability", "keywords", "sentiment", "language", "category")
-LIST_STEPS = STEPS[3:]
+STEPS = ("statistics", "readability", "keywords", "entities", "sentiment", "emotions", "language", "category", "topics", "summary")
+LIST_STEPS = ("sentiment", "emotions", "language", "category")
+#: Why a step has no result for a document that is long enough to analyse.
+NO_RESULT = {
+    "topics": "no word of the topic model's vocabulary",
+    "summary": "too short to summarise",
+    "emotions": "no word of the emotion list",
+}
 
 
 def analyse(
@@ -50,16 +58,20 @@ def analyse(
     text: str,
     *,
     stop_words: Sequence[str],
+    title: str | None = None,
     sentiment: Sequence[Sequence] = seeds.SENTIMENT,
     profiles: Mapping[str, Sequence[str]] = seeds.STOP_WORDS,
     categories: Mapping[str, Sequence[str]] = seeds.TOKEN_CATEGORIES,
+    emotions: Sequence[Sequence[str]] = seeds.EMOTIONS,
+    gazetteer: Sequence[Sequence[str]] = (),
     steps: Sequence[str] = STEPS,
 ) -> DataFrame:
-    """One row per document with a struct per requested step and an `error` for text too short.
+    """One row per document with a column per requested step, an `error` for text too short, and `failures`, a map of
+    the steps that have no result to the reason.
 
-    Statistics, readability and keywords are columns of one pass over the text. The
-    list-based steps share a second pass whose result is one small row per document,
-    joined by the document key. A document too short to analyse keeps its row.
+    Statistics, readability, keywords and entities are columns of one pass over the text. The list-based steps share a
+    second pass; topics and summaries have a pass each. Their results are one small row per document,
+    joined by the document key. A document too short to analyse keeps its row. A title counts for the category.
     """
     out = df.select(key, F.col(text).alias("raw"), analysis_guard(F.col(text)).alias("error"))
     long_enough = F.col("error").isNull()
@@ -80,9 +92,27 @@ def analyse(
         out = add_frequent_words(out, "raw", stop_words, "top")
         out = out.select("raw", *kept, F.when(long_enough, F.col("top")).alias("keywords"))
         kept.append("keywords")
-    lists = [s for s in steps if s in LIST_STEPS]
-    if lists:
-        base = df.select(key, clean_text(F.col(text)).alias("clean")).filter(analysis_guard(F.col(text)).isNull())
-        small = lx.list_analyses(base, key, "clean", sentiment, profiles, categories).select(key, *lists)
-        out = out.join(small, key, "left")
-    return out.select(*kept, *lists)
+    if "entities" in steps:
+        # From the raw text: cleaning takes the signs that addresses and amounts are known by.
+        found = pattern_entities(F.col("raw"))
+        found = F.concat(found, listed_entities(F.col("raw"), gazetteer)) if gazetteer else found
+        out = out.select("raw", *kept, F.when(long_enough, F.array_distinct(found)).alias("entities"))
+        kept.append("entities")
+    usable = df.filter(analysis_guard(F.col(text)).isNull())
+    joined = [s for s in steps if s in LIST_STEPS]
+    if joined:
+        base = usable.select(key, clean_text(F.col(text)).alias("clean"), *([F.col(title).alias("title")] if title else []))
+        small = lx.list_analyses(base, key, "clean", sentiment, profiles, categories, emotions, "title" if title else None)
+        if "emotions" in joined:
+            small = small.withColumn("emotions", F.when(F.col("emotions.dominant").isNotNull(), F.col("emotions")))
+        out = out.join(small.select(key, *joined), key, "left")
+    if "topics" in steps:
+        out = out.join(topic_model(usable.select(key, text), key, text, stop_words).mixtures, key, "left")
+        joined.append("topics")
+    if "summary" in steps:
+        short = summaries(usable.select(key, text), key, text, stop_words)
+        out = out.join(short.select(key, F.struct(*[c for c in short.columns if c != key]).alias("summary")), key, "left")
+        joined.append("summary")
+    missing = [F.when(long_enough & F.col(s).isNull(), F.struct(F.lit(s).alias("step"), F.lit(NO_RESULT[s]).alias("reason"))) for s in NO_RESULT if s in joined]
+    failures = F.map_from_entries(F.array_compact(F.array(*missing))) if missing else F.create_map().cast("map<string,string>")
+    return out.select(*kept, *joined, failures.alias("failures"))

@@ -258,7 +258,7 @@ _CAT_COLS = [(c, c) for c in _CATS]
 @ENTRIES.add(
     "token_categories",
     "N9 J4 W8",
-    f"""WITH t AS (SELECT doc_id, unnest({S.tokens('text')}) AS word FROM documents),
+    f"""WITH t AS (SELECT doc_id, unnest({S.tokens("source || ' ' || split_part(text, chr(10), 1) || ' ' || text")}) AS word FROM documents),
     h AS (SELECT doc_id, {', '.join(f"count(*) FILTER (category = '{c}')::DOUBLE AS n_{c}" for c in _CATS)} FROM t
         LEFT JOIN {seeds.sql_values(_CAT_ROWS, 'word, category')} l USING (word) GROUP BY doc_id),
     u AS (SELECT *, {' + '.join(f'n_{c}' for c in _CATS)} AS total FROM h),
@@ -267,7 +267,8 @@ _CAT_COLS = [(c, c) for c in _CATS]
         greatest({', '.join(_CATS)}) AS confidence FROM g""",
 )
 def token_categories(spark, sf):
-    return lx.token_categories(docs(spark, sf), "doc_id", "text", P.TOKEN_CATEGORIES)
+    title = F.concat("source", F.lit(" "), F.substring_index("text", "\n", 1)).alias("title")
+    return lx.token_categories(docs(spark, sf).select("doc_id", "text", title), "doc_id", "text", P.TOKEN_CATEGORIES, "title")
 
 
 @ENTRIES.add(
@@ -351,31 +352,54 @@ def summaries(spark, sf):
     return kw.summaries(docs(spark, sf), "doc_id", "text", STOP)
 
 
+def _sql_of(name: str) -> str:
+    return next(e.sql for e in ENTRIES if e.name == name)
+
+
+_EMO_COLS = [(f"felt_{e}", e) for e in _EMO]
+#: A document's title in these queries: what its source is called, and its first line.
+_TITLE = "source || ' ' || split_part(text, chr(10), 1)"
+
 @ENTRIES.add(
     "full_analysis",
     "N12 P17",
-    f"""WITH {_READ}, k AS (SELECT doc_id, {S.clean('text')} AS c FROM documents WHERE length({S.strip('text')}) >= 10),
+    f"""WITH {_READ}, k AS (SELECT doc_id, {S.clean('text')} AS c, {_TITLE} AS title FROM documents WHERE length({S.strip('text')}) >= 10),
     t AS (SELECT doc_id, unnest({S.tokens('c')}) AS word FROM k),
+    tt AS (SELECT doc_id, word FROM t UNION ALL SELECT doc_id, unnest({S.tokens('title')}) AS word FROM k),
     s AS (SELECT doc_id, coalesce(sum(valence), 0.0::DOUBLE) AS total FROM t
         LEFT JOIN {seeds.sql_values(P.SENTIMENT, 'word, valence, polarity, subjectivity')} x USING (word) GROUP BY 1),
     v AS (SELECT doc_id, {', '.join(f"count(*) FILTER (profile = '{c}') AS n_{c}" for c in seeds.LANGUAGES)} FROM t
         LEFT JOIN {seeds.sql_values(_PROFILE, 'word, profile')} x USING (word) GROUP BY doc_id),
-    h AS (SELECT doc_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in _CATS)} FROM t
+    h AS (SELECT doc_id, {', '.join(f"count(*) FILTER (category = '{c}') AS {c}" for c in _CATS)} FROM tt
         LEFT JOIN {seeds.sql_values(_CAT_ROWS, 'word, category')} x USING (word) GROUP BY doc_id),
-    f AS ({_top_words(S.content_words(S.clean('text'), 3), 'true')})
+    e AS (SELECT doc_id, {', '.join(f"count(*) FILTER (emotion = '{n}') AS felt_{n}" for n in _EMO)} FROM t
+        LEFT JOIN {seeds.sql_values(P.EMOTIONS, 'word, emotion')} x USING (word) GROUP BY doc_id),
+    f AS ({_top_words(S.content_words(S.clean('text'), 3), 'true')}),
+    n AS (SELECT doc_id, count(*) AS entities FROM ({_sql_of('entity_summary')}) GROUP BY 1),
+    u AS (SELECT doc_id, summary_length FROM ({_sql_of('summaries')}))
     SELECT d.doc_id, CASE WHEN k.doc_id IS NULL THEN 'Text too short for analysis' END AS error,
         CASE WHEN k.doc_id IS NOT NULL THEN len({S.tokens('k.c')}) END AS word_count,
         CASE WHEN k.doc_id IS NOT NULL THEN r.reading_level END AS reading_level, {S.compound('s.total')} AS compound,
         CASE WHEN greatest({', '.join('v.' + c for c, _ in _LANG_COLS)}) = 0 THEN 'en' ELSE {S.first_best(_LANG_COLS)} END AS language,
         CASE WHEN greatest({', '.join(_CATS)}) = 0 THEN 'general' ELSE {S.first_best(_CAT_COLS)} END AS category,
-        CASE WHEN k.doc_id IS NOT NULL THEN f.word END AS top_word
+        CASE WHEN k.doc_id IS NOT NULL THEN f.word END AS top_word,
+        CASE WHEN greatest({', '.join(c for c, _ in _EMO_COLS)}) > 0 THEN {S.first_best(_EMO_COLS)} END AS emotion,
+        CASE WHEN k.doc_id IS NOT NULL THEN coalesce(n.entities, 0) END AS entities,
+        CASE WHEN k.doc_id IS NOT NULL THEN u.summary_length END AS summary_length,
+        CASE WHEN k.doc_id IS NOT NULL THEN concat_ws(',', CASE WHEN greatest({', '.join(c for c, _ in _EMO_COLS)}) = 0 THEN 'emotions' END,
+            CASE WHEN u.doc_id IS NULL THEN 'summary' END) ELSE '' END AS failed_steps
     FROM documents d LEFT JOIN k USING (doc_id) LEFT JOIN readability r USING (doc_id) LEFT JOIN s USING (doc_id)
-        LEFT JOIN v USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE rank = 1) f USING (doc_id)""",
+        LEFT JOIN v USING (doc_id) LEFT JOIN h USING (doc_id) LEFT JOIN (SELECT * FROM f WHERE rank = 1) f USING (doc_id)
+        LEFT JOIN e USING (doc_id) LEFT JOIN n USING (doc_id) LEFT JOIN u USING (doc_id)""",
 )
 def full_analysis(spark, sf):
+    title = F.concat("source", F.lit(" "), F.substring_index("text", "\n", 1)).alias("title")
     out = analyse(
-        docs(spark, sf), "doc_id", "text", stop_words=STOP, sentiment=P.SENTIMENT, categories=P.TOKEN_CATEGORIES
+        docs(spark, sf).select("doc_id", "text", title), "doc_id", "text", stop_words=STOP, title="title", sentiment=P.SENTIMENT,
+        categories=P.TOKEN_CATEGORIES, emotions=P.EMOTIONS, gazetteer=P.GAZETTEER,
     )
+    # Topics depend on the model's fit; `document_topics` checks them.
+    failed = F.array_sort(F.filter(F.map_keys("failures"), lambda s: s != "topics"))
     return out.select(
         "doc_id",
         "error",
@@ -385,6 +409,10 @@ def full_analysis(spark, sf):
         "language.language",
         F.col("category.predicted_category").alias("category"),
         F.get("keywords", F.lit(0))["word"].alias("top_word"),
+        F.col("emotions.dominant").alias("emotion"),
+        F.when(F.col("error").isNull(), F.size("entities")).cast("bigint").alias("entities"),
+        "summary.summary_length",
+        F.array_join(failed, ",").alias("failed_steps"),
     )
 
 
@@ -399,12 +427,16 @@ _JQ = f"""q0 AS (SELECT doc_id, least(length(text)::DOUBLE / 1000::DOUBLE, 1.0::
 @ENTRIES.add(
     "job_quality",
     "N13",
-    f"""WITH {S.COMPOUND}, {_JQ} SELECT doc_id, (f1 + coalesce(f2, 0.0::DOUBLE) + f3) / k AS quality_mean,
-        (f1 + coalesce(f2, 0.0::DOUBLE) + 0.0::DOUBLE) / k AS quality_parity, f1 + coalesce(f2, 0.0::DOUBLE) + f3 AS quality_weighted FROM q1""",
+    f"""WITH {S.COMPOUND}, {_JQ}, cat AS ({_sql_of('token_categories')}), q2 AS (SELECT q1.*, confidence * 0.3::DOUBLE AS f4 FROM q1 JOIN cat USING (doc_id))
+    SELECT doc_id, (f1 + coalesce(f2, 0.0::DOUBLE) + f3 + f4) / (k + 1) AS quality_mean,
+        (f1 + coalesce(f2, 0.0::DOUBLE) + 0.0::DOUBLE + f4) / (k + 1) AS quality_parity, f1 + coalesce(f2, 0.0::DOUBLE) + f3 + f4 AS quality_weighted FROM q2""",
 )
 def job_quality(spark, sf):
     rows = lx.add_compound(docs(spark, sf).select("doc_id", "text"), "text", P.SENTIMENT)
-    return rows.withColumns(quality.job_quality(F.col("text"), F.col("compound"))).drop("text", "compound")
+    # The share of the best category is the confidence of a document's classification: one number a document.
+    sure = token_categories(spark, sf).select("doc_id", "confidence")
+    rows = rows.select("doc_id", "text", "compound").join(sure, "doc_id")
+    return rows.withColumns(quality.job_quality(F.col("text"), F.col("compound"), F.col("confidence"))).drop("text", "compound", "confidence")
 
 
 @ENTRIES.add(
