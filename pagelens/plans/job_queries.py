@@ -7,6 +7,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from pagelens import seeds
 from pagelens.functions import checks, quality
@@ -19,7 +20,7 @@ from pagelens.plans import sql as S
 from pagelens.plans.enrichment import enriched
 from pagelens.plans.entry import Registry, docs, pages
 from pagelens.session import scratch_path
-from pagelens.sources import sinks
+from pagelens.sources import dated, sinks
 from pagelens.sources import tables as tb
 
 ENTRIES = Registry()
@@ -657,24 +658,58 @@ def export_log(spark, sf):
     )
 
 
-@ENTRIES.add("storage_statistics", "S20 A12 S18")
+_HALVES = (("first", "2024-01-01", "2024-01-16"), ("second", "2024-01-16", "2024-02-01"))
+
+
+def dated_events(spark: SparkSession, sf: str) -> str:
+    """Two exports of events as lines, each half a month, into a folder for each day and event type; then the second once more."""
+    path = scratch_path(spark, "dated")
+    line = F.concat_ws(",", F.col("event_id").cast("string"), "event_type")
+    e = tb.table(spark, sf, "events").select(F.col("ts").cast("timestamp_ntz").alias("ts"), "event_type", line.alias("value"))
+    for name, start, end in (*_HALVES, _HALVES[1]):
+        half = e.filter((F.col("ts") >= F.lit(start).cast("timestamp_ntz")) & (F.col("ts") < F.lit(end).cast("timestamp_ntz")))
+        dated.export_dated(half, "ts", "event_type", path, "text", name, datetime.fromisoformat(end), ["value"])
+    return path
+
+
+_LINE_BYTES = "octet_length(encode(event_id || ',' || event_type)) + 1"
+
+
+@ENTRIES.add(
+    "dated_exports",
+    "S18 S7",
+    f"""SELECT strftime(ts, '%Y') AS year, strftime(ts, '%m') AS month, strftime(ts, '%d') AS day, event_type AS job_id, count(*) AS record_count,
+        sum({_LINE_BYTES})::BIGINT AS bytes, count(*) AS rows_read, sum(event_id)::BIGINT AS ids FROM events GROUP BY ALL""",
+)
+def dated_exports(spark, sf):
+    path = dated_events(spark, sf)
+    back = dated.read_dated(spark, path, StructType().add("value", "string"), "text").groupBy(*dated.FOLDER).agg(
+        F.count(F.lit(1)).alias("rows_read"), F.sum(F.substring_index("value", ",", 1).cast("bigint")).alias("ids")
+    )
+    return dated.read_manifest(spark, path).select(*dated.FOLDER, "record_count", "bytes").join(back, dated.FOLDER)
+
+
+@ENTRIES.add(
+    "storage_statistics",
+    "S20 A12 S18",
+    f"""SELECT '.txt' AS extension, count(DISTINCT (ts::DATE, event_type)) AS files, sum({_LINE_BYTES})::BIGINT AS bytes,
+        round(sum({_LINE_BYTES}) / (1024 * 1024), 2) AS megabytes FROM events""",
+)
 def storage_statistics(spark, sf):
-    path = sinks.export_folder(scratch_path(spark, "storage"), AS_OF)
-    e = tb.table(spark, sf, "events")
-    e.select("event_id", "event_type").write.csv(f"{path}/events")
-    e.groupBy("event_type").agg(F.count(F.lit(1)).alias("n")).write.json(f"{path}/counts")
-    return rt.file_statistics(tb.list_files(spark, path))
+    return rt.file_statistics(dated.as_files(dated.read_manifest(spark, dated_events(spark, sf))))
 
 
-@ENTRIES.add("expired_exports", "D2 S20")
+@ENTRIES.add(
+    "expired_exports",
+    "D2 S20",
+    f"""SELECT ts < TIMESTAMP '2024-01-16' AS expired, count(DISTINCT (ts::DATE, event_type)) AS files, sum({_LINE_BYTES})::BIGINT AS bytes
+    FROM events GROUP BY 1""",
+)
 def expired_exports(spark, sf):
-    path = scratch_path(spark, "old")
-    tb.table(spark, sf, "events").select("event_id").write.json(path)
-    files = tb.list_files(spark, path)
-    later = F.current_timestamp().cast("timestamp_ntz") + F.make_dt_interval(F.lit(8))
-    return rt.expired_files(files, later).agg(
-        F.count(F.lit(1)).alias("files"), F.round(F.sum("size") / (1024 * 1024), 2).alias("megabytes")
-    )
+    files = dated.as_files(dated.read_manifest(spark, dated_events(spark, sf)))
+    gone = rt.expired_files(files, F.lit("2024-02-02 00:00:00").cast("timestamp_ntz")).select("key", F.lit(True).alias("expired"))
+    marked = files.join(gone, "key", "left").withColumn("expired", F.coalesce("expired", F.lit(False)))
+    return marked.groupBy("expired").agg(F.count(F.lit(1)).alias("files"), F.sum("size").alias("bytes"))
 
 
 _EXPIRED = """ends AS (SELECT max(end_time) AS last_end FROM jobs), expired AS (SELECT job_id FROM jobs, ends
