@@ -100,8 +100,12 @@ def _references(text: Column) -> Column:
 
 
 def decode_entities(col: Column) -> Column:
-    """Named and numeric character references; text without an ampersand is passed through."""
-    return let(col, lambda x: F.when(F.contains(x, F.lit("&")), _references(x)).otherwise(x))
+    """Named and numeric character references; text without an ampersand is passed through.
+
+    Where every ampersand is spelt `&amp;`, as in most addresses, replacing them is the same single pass.
+    """
+    one_kind = lambda x: F.when(~x.rlike("&(?!amp;)"), F.replace(x, F.lit("&amp;"), F.lit("&")))
+    return let(col, lambda x: F.when(F.contains(x, F.lit("&")), F.coalesce(one_kind(x), _references(x))).otherwise(x))
 
 
 def without_code(html: Column) -> Column:

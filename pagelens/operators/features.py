@@ -57,7 +57,8 @@ def tfidf_rows(df: DataFrame, key: str, text: str, stop_words: Sequence[str], ma
     """M1: the texts are split once and their counts written; weighing and scaling stay inside each row."""
     spark = df.sparkSession
     path = scratch_path(spark, "terms")
-    runs = term_runs(df, key, text, stop_words)
+    slim = F.transform("runs", lambda r: F.struct(r["word"].alias("word"), r["n"].cast("int").alias("n")))
+    runs = term_runs(df, key, text, stop_words).select(key, slim.alias("runs"))
     runs.write.parquet(path)
     runs = spark.read.schema(runs.schema).parquet(path)
     counts = runs.select(F.explode("runs").alias("r")).select("r.word", "r.n")
@@ -66,7 +67,7 @@ def tfidf_rows(df: DataFrame, key: str, text: str, stop_words: Sequence[str], ma
         empty = runs.select(key, F.array().cast("array<int>").alias("indices"), F.array().cast("array<double>").alias("weights"))
         return Weights(empty, [])
     words = [r["word"] for r in listed]
-    repeated = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["word"], r["n"].cast("int"))))
+    repeated = F.flatten(F.transform("runs", lambda r: F.array_repeat(r["word"], r["n"])))
     terms = runs.select(key, F.coalesce(repeated, F.array().cast("array<string>")).alias("terms"))  # none for a null text
     counter = CountVectorizerModel.from_vocabulary(words, inputCol="terms", outputCol="counts")
     weigh = ElementwiseProduct(scalingVec=Vectors.dense([r["idf"] for r in listed]), inputCol="counts", outputCol="weighed")
