@@ -53,7 +53,8 @@ def search(df: DataFrame, key: str, text: str, queries: DataFrame, query_key: st
     anchors = anchors.select(query_key, "__q", F.col("__a.__w").alias("__w"))
     pairs = postings.join(bounded_broadcast(anchors, MAX_INPUTS), "__w").select(key, query_key, "__q")
     texts = df.select(key, F.lower(text).alias("__t"))
-    out = texts.join(pairs, key).filter(F.contains("__t", F.col("__q"))).select(query_key, key)
+    # The few candidates go to the texts, not the texts to them, as long as they fit the checked bound.
+    out = texts.join(bounded_broadcast(pairs), key).filter(F.contains("__t", F.col("__q"))).select(query_key, key)
     short = inputs.filter(F.size("__ws") == 0).select(query_key, "__q")
     blocks = -(-short.count() // MAX_INPUTS)
     for i in range(blocks):

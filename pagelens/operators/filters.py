@@ -39,20 +39,20 @@ class FilterSpec:
         for name, value in filters.items():
             kind = FILTER_TYPES.get(name)
             if kind is None:
-                spec.warnings.append(f"Unknown filter: {name}")
+                spec.warnings.append(f"{name} is no known filter")
                 continue
             try:
                 parsed = str(value).strip() if kind is str else kind(value)
             except (TypeError, ValueError):
-                errors.append(f"Invalid type for filter {name}: expected {kind.__name__}")
+                errors.append(f"{name} does not read as {kind.__name__}")
                 continue
             if kind is str and not parsed:
-                spec.warnings.append(f"Empty value for filter: {name}")
+                spec.warnings.append(f"{name} is empty")
                 continue
             if kind is int and parsed < 0:
-                spec.warnings.append(f"Negative value for {name}")
+                spec.warnings.append(f"{name} is below zero")
             if kind is float and not 0 <= parsed <= 1:
-                spec.warnings.append(f"Quality score must be between 0 and 1: {name}")
+                spec.warnings.append(f"{name} lies outside 0 to 1")
             spec.values[name] = parsed
         errors += spec._range_errors()
         if errors:
@@ -64,7 +64,7 @@ class FilterSpec:
         for what in ("quality_score", "word_count"):
             low, high = v.get(f"min_{what}"), v.get(f"max_{what}")
             if low is not None and high is not None and low > high:
-                out.append(f"min_{what} cannot be greater than max_{what}")
+                out.append(f"no value lies between min_{what} and max_{what}")
         try:
             self.warnings += parse_date_range(v.get("start_date"), v.get("end_date"))[2]
         except ValueError as exc:

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from pagelens.functions.quality import four_level
 from pagelens.functions.text import rounded
 from pagelens.operators.skew import numbered
+from pagelens.session import scratch_path
 
 
 def job_counters(content: DataFrame) -> DataFrame:
@@ -149,7 +150,10 @@ def top_values(counts: DataFrame, group: Sequence[str], k: int) -> DataFrame:
 
 def job_insight(cube: DataFrame, job_id: str | Column) -> DataFrame:
     """Report lines (section, ord, line) for one job, from its few cube rows."""
-    one = cube.filter(F.col("job_id") == job_id)
+    # A few rows, written once: four parts of the report read them.
+    path = scratch_path(cube.sparkSession, "insight")
+    cube.filter(F.col("job_id") == job_id).write.parquet(path)
+    one = cube.sparkSession.read.parquet(path)
     totals = one.agg(
         F.sum("n").alias("pages"), F.sum("words").alias("words"), F.sum("quality").alias("q")
     ).select(

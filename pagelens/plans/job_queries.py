@@ -20,7 +20,7 @@ from pagelens.plans import sql as S
 from pagelens.plans.enrichment import enriched
 from pagelens.plans.entry import Registry, docs, pages
 from pagelens.session import scratch_path
-from pagelens.sources import dated, sinks
+from pagelens.sources import content_store, dated, sinks
 from pagelens.sources import tables as tb
 
 ENTRIES = Registry()
@@ -81,13 +81,13 @@ def job_error_rows(spark, sf):
     j AS (SELECT left(job_id, CASE WHEN total_urls % 3 = 0 THEN 4 ELSE 99 END) AS job_id, job_id AS full_id,
         CASE WHEN failed_urls > 2 THEN 'started' ELSE status END AS status, total_urls - failed_urls AS total_urls,
         processed_urls - 48 AS processed_urls, failed_urls FROM jobs)
-    SELECT full_id, concat_ws('; ', CASE WHEN length(j.job_id) < 5 THEN 'Invalid job_id format' END,
-        CASE WHEN status NOT IN ('pending', 'running', 'completed', 'failed', 'cancelled') THEN 'Invalid status: ' || status END,
-        CASE WHEN total_urls < 0 THEN 'Invalid total_urls: must be non-negative integer' END,
-        CASE WHEN processed_urls < 0 THEN 'Invalid processed_urls: must be non-negative integer' END,
-        CASE WHEN failed_urls < 0 THEN 'Invalid failed_urls: must be non-negative integer' END) AS errors,
-        concat_ws('; ', CASE WHEN processed_urls + failed_urls > total_urls THEN 'Processed + failed URLs exceed total URLs' END,
-        CASE WHEN missing > 0 THEN missing || ' results missing URL' END) AS warnings FROM j LEFT JOIN w ON w.job_id = j.full_id""",
+    SELECT full_id, concat_ws('; ', CASE WHEN length(j.job_id) < 5 THEN 'job_id has under 5 characters' END,
+        CASE WHEN status NOT IN ('pending', 'running', 'completed', 'failed', 'cancelled') THEN 'unknown status ' || status END,
+        CASE WHEN total_urls < 0 THEN 'total_urls is below zero' END,
+        CASE WHEN processed_urls < 0 THEN 'processed_urls is below zero' END,
+        CASE WHEN failed_urls < 0 THEN 'failed_urls is below zero' END) AS errors,
+        concat_ws('; ', CASE WHEN processed_urls + failed_urls > total_urls THEN 'more addresses handled than given' END,
+        CASE WHEN missing > 0 THEN missing || ' results without an address' END) AS warnings FROM j LEFT JOIN w ON w.job_id = j.full_id""",
 )
 def job_record_checks(spark, sf):
     # Job records bent out of shape by their own counters, so that every rule is met by some job.
@@ -118,11 +118,10 @@ MORE_FILTERS = {
 }
 
 
-def stored_content(spark: SparkSession, sf: str) -> DataFrame:
-    """The enriched rows as a stored table, so that export filters and columns reach its scan."""
-    path = scratch_path(spark, "content")
-    sinks.by_job(content(spark, sf)).write.partitionBy("job_id").parquet(path)
-    return spark.read.parquet(path)
+def filtered(spark: SparkSession, sf: str, filters: dict) -> DataFrame:
+    """Enriched rows that pass an export filter, from the one store that all filters share."""
+    path = content_store.register(content(spark, sf), [f"{sf}/documents.parquet"])
+    return content_store.matching(spark, path, FilterSpec.parse(filters))
 
 
 @ENTRIES.add(
@@ -132,7 +131,7 @@ def stored_content(spark: SparkSession, sf: str) -> DataFrame:
     WHERE word_count >= 50 AND word_count <= 2000 AND quality_score >= 0.4 AND error IS NULL""",
 )
 def export_filter(spark, sf):
-    rows = stored_content(spark, sf).filter(FilterSpec.parse(FILTERS).column())
+    rows = filtered(spark, sf, FILTERS)
     return rows.select("content_id", "job_id", "word_count", "quality_score")
 
 
@@ -143,7 +142,7 @@ def export_filter(spark, sf):
         AND engine = 'static' AND scraped_at BETWEEN TIMESTAMP '2024-01-01 00:01:00' AND TIMESTAMP '2024-06-30'""",
 )
 def extended_filter(spark, sf):
-    rows = stored_content(spark, sf).filter(FilterSpec.parse(MORE_FILTERS).column())
+    rows = filtered(spark, sf, MORE_FILTERS)
     return rows.select("content_id", "category", "scraped_at")
 
 
@@ -342,11 +341,10 @@ def table_row_counts(spark, sf):
 
 
 def category_seed(spark: SparkSession) -> DataFrame:
-    rows = [(name, text, words.split()) for name, text, words in seeds.DEFAULT_CATEGORIES]
-    return seeds.table(spark, rows, "name string, description string, keywords array<string>")
+    return seeds.table(spark, seeds.DEFAULT_CATEGORIES, "name string, description string, keywords array<string>")
 
 
-_SEED_SQL = seeds.sql_values([(n, d, w.replace(" ", ",")) for n, d, w in seeds.DEFAULT_CATEGORIES], "name, description, keywords")
+_SEED_SQL = seeds.sql_values([(n, d, ",".join(w)) for n, d, w in seeds.DEFAULT_CATEGORIES], "name, description, keywords")
 
 
 @ENTRIES.add(
@@ -633,6 +631,75 @@ def sheet_tables(spark, sf):
     return out
 
 
+@ENTRIES.add(
+    "sheet_rows",
+    "S13",
+    f"""WITH {S.ENRICHED}, {S.JOBS} SELECT 'job_summary' AS sheet, job_id, NULL AS key, total_urls AS n, md5(status || ' ' || processed_urls || ' ' || failed_urls) AS digest FROM jobs
+    UNION ALL SELECT 'results', job_id, url, word_count, md5(title || ' ' || category || ' ' || sentiment) FROM content
+    UNION ALL SELECT 'detailed_analysis', job_id, url, length(left(content, 500)), md5(content) FROM content
+    UNION ALL SELECT 'errors', job_id, NULL, content_id, md5(reason || ': ' || url) FROM job_rows WHERE reason IS NOT NULL""",
+)
+def sheet_rows(spark, sf):
+    path, c, day = scratch_path(spark, "workbook"), content(spark, sf), F.lit(AS_OF).cast("timestamp_ntz")
+    sheets = sinks.sheet_tables(
+        jobs(spark, sf), c, c.select("job_id", "url", F.col("content").alias("response")), rp.job_errors(job_rows(spark, sf))
+    )
+    shown = {
+        "job_summary": (F.lit(None).cast("string"), F.col("total_urls"), F.concat_ws(" ", "status", "processed_urls", "failed_urls")),
+        "results": (F.col("url"), F.col("word_count"), F.concat_ws(" ", "title", "category", "sentiment")),
+        "detailed_analysis": (F.col("url"), F.length("summary").cast("bigint"), F.col("response")),
+        "errors": (F.lit(None).cast("string"), F.col("content_id"), F.col("message")),
+    }
+    out = None
+    for name, df in sheets.items():
+        # Each sheet goes to dated folders of its jobs and comes back by value.
+        rows = df.withColumn("at", day)
+        dated.export_dated(rows, "at", "job_id", f"{path}/{name}", "parquet", name, AS_OF, [x for x in df.columns if x != "job_id"])
+        back = dated.read_dated(spark, f"{path}/{name}", df.drop("job_id").schema, "parquet")
+        key, n, text = shown[name]
+        part = back.select(F.lit(name).alias("sheet"), "job_id", key.alias("key"), n.alias("n"), F.md5(text).alias("digest"))
+        out = part if out is None else out.union(part)
+    return out
+
+
+@ENTRIES.add(
+    "statistics_export",
+    "S9",
+    f"""WITH {S.ENRICHED}, t AS (SELECT job_id, sum(word_count)::BIGINT AS total_words, round(sum(word_count)::DOUBLE / count(*), 6) AS average_words,
+        round(sum(quality_score) / count(*), 6) AS average_quality FROM content GROUP BY 1),
+    v AS (SELECT job_id, 'category' AS kind, category AS value, count(*) AS n FROM content GROUP BY ALL
+        UNION ALL SELECT job_id, 'sentiment', sentiment, count(*) FROM content GROUP BY ALL),
+    r AS (SELECT job_id, count(*) AS rows_read, sum(content_id)::BIGINT AS ids, sum(length(url))::BIGINT AS url_chars FROM content GROUP BY 1)
+    SELECT * FROM v JOIN t USING (job_id) JOIN r USING (job_id)""",
+)
+def statistics_export(spark, sf):
+    path = scratch_path(spark, "statistics-export")
+    sinks.export_statistics(content(spark, sf).drop("content"), path)
+    back = sinks.read_statistics(spark, path)
+    read = back["scraped_results"].groupBy("job_id").agg(
+        F.count(F.lit(1)).alias("rows_read"), F.sum("content_id").alias("ids"), F.sum(F.length("url")).alias("url_chars")
+    )
+    totals = back["statistics"].select("job_id", "total_words", F.round("average_words", 6).alias("average_words"), F.round("average_quality", 6).alias("average_quality"))
+    return back["distributions"].join(totals, "job_id").join(read, "job_id")
+
+
+@ENTRIES.add(
+    "display_export",
+    "S11",
+    f"""WITH {S.ENRICHED} SELECT url, title, word_count, category, sentiment, {S.rounded('quality_score', 3)} AS quality_score,
+        CASE WHEN error IS NULL THEN 'completed' ELSE 'failed' END AS status, md5(content) AS content_md5 FROM content""",
+)
+def display_export(spark, sf):
+    path = scratch_path(spark, "display")
+    sinks.write_csv(sinks.display_rows(content(spark, sf)), path)
+    back = sinks.read_csv(spark, path, sinks.DISPLAY)
+    return back.select(
+        F.col("URL").alias("url"), F.col("Title").alias("title"), F.col("Word Count").alias("word_count"), F.col("Category").alias("category"),
+        F.col("Sentiment").alias("sentiment"), rounded(F.col("Quality Score"), 3).alias("quality_score"), F.col("Status").alias("status"),
+        F.md5("Full Content").alias("content_md5"),
+    )
+
+
 @ENTRIES.add(
     "export_log",
     "S15 S19 J2",

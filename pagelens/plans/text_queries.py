@@ -449,9 +449,9 @@ def job_quality(spark, sf):
             ELSE 'Poor' END AS quality_level,
         CASE WHEN quality_score >= 0.8 THEN 'Excellent' WHEN quality_score >= 0.6 THEN 'Good' WHEN quality_score >= 0.4 THEN 'Average'
             WHEN quality_score >= 0.2 THEN 'Poor' ELSE 'Very Poor' END AS five_level, quality_score * 100::DOUBLE AS normalized_score,
-        concat_ws('; ', CASE WHEN word_count < 200 THEN 'Consider adding more content for better depth' END,
-            CASE WHEN readability_score < 30 THEN 'Content may be too complex - consider simplifying' END,
-            CASE WHEN sentiment = 'negative' THEN 'Consider more positive framing' END) AS recommendations FROM content""",
+        concat_ws('; ', CASE WHEN word_count < 200 THEN 'a longer text would go deeper' END,
+            CASE WHEN readability_score < 30 THEN 'shorter sentences would be easier to read' END,
+            CASE WHEN sentiment = 'negative' THEN 'a friendlier tone may suit the topic' END) AS recommendations FROM content""",
 )
 def display_quality(spark, sf):
     c = enriched(table(spark, sf, "documents"), P.SENTIMENT)

@@ -12,16 +12,16 @@ from pyspark.sql import DataFrame, SparkSession
 
 # Category seed rows (name, description, keywords).
 DEFAULT_CATEGORIES = (
-    ("technology", "Technology, software, and IT related content", "software hardware programming computer tech ai ml"),
-    ("business", "Business, finance, and corporate content", "business finance market company revenue profit"),
-    ("science", "Scientific research and discoveries", "research study experiment scientific discovery analysis"),
-    ("health", "Health, medical, and wellness content", "health medical doctor treatment wellness medicine"),
-    ("education", "Educational and academic content", "education school university learning academic student"),
-    ("entertainment", "Entertainment and media content", "entertainment movie music celebrity show game"),
-    ("sports", "Sports and athletic content", "sport team player game tournament athletic"),
-    ("politics", "Political and government related content", "politics government election policy democracy vote"),
-    ("travel", "Travel and tourism content", "travel vacation tourism destination trip hotel"),
-    ("general", "General content that doesn't fit other categories", "general misc other various mixed"),
+    ("technology", "Technology, software, and IT related content", ["software", "hardware", "programming", "computer", "tech", "ai", "ml"]),
+    ("business", "Business, finance, and corporate content", ["business", "finance", "market", "company", "revenue", "profit"]),
+    ("science", "Scientific research and discoveries", ["research", "study", "experiment", "scientific", "discovery", "analysis"]),
+    ("health", "Health, medical, and wellness content", ["health", "medical", "doctor", "treatment", "wellness", "medicine"]),
+    ("education", "Educational and academic content", ["education", "school", "university", "learning", "academic", "student"]),
+    ("entertainment", "Entertainment and media content", ["entertainment", "movie", "music", "celebrity", "show", "game"]),
+    ("sports", "Sports and athletic content", ["sport", "team", "player", "game", "tournament", "athletic"]),
+    ("politics", "Political and government related content", ["politics", "government", "election", "policy", "democracy", "vote"]),
+    ("travel", "Travel and tourism content", ["travel", "vacation", "tourism", "destination", "trip", "hotel"]),
+    ("general", "General content that doesn't fit other categories", ["general", "misc", "other", "various", "mixed"]),
 )
 
 # Keywords matched against whole tokens.

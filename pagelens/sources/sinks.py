@@ -11,7 +11,10 @@ from pagelens.functions.checks import clean_name, preview
 from pagelens.functions.text import rounded
 
 FORMATS = ("json", "csv", "parquet", "text")
-NO_DATA = "No data available"
+NO_DATA = "no rows"
+#: Texts keep their outer blanks, and quotes are doubled.
+CSV = {"header": True, "escape": '"', "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+DISPLAY = "URL string, Title string, `Word Count` bigint, Status string, Category string, Sentiment string, `Quality Score` double, `Full Content` string"
 
 
 def by_job(df: DataFrame) -> DataFrame:
@@ -81,6 +84,38 @@ def export_jobs(jobs: DataFrame, content: DataFrame, errors: DataFrame, path: st
     by_job(errors).write.partitionBy("job_id").json(f"{path}/errors")
 
 
+def export_statistics(content: DataFrame, path: str) -> None:
+    """Results below their job, and beside them the totals and distributions of each job, as JSON lines.
+
+    The statistics are made of the cube of the written results, so they fit the rows that went out.
+    """
+    from pagelens.operators import reports
+
+    by_job(content).write.partitionBy("job_id").json(f"{path}/scraped_results")
+    written = content.sparkSession.read.schema(RESULT_FIELDS).json(f"{path}/scraped_results")
+    reports.job_cube(written).write.parquet(f"{path}/cube")
+    cube = content.sparkSession.read.parquet(f"{path}/cube")
+    totals = cube.groupBy("job_id").agg(F.sum("n").alias("n"), F.sum("words").alias("total_words"), F.sum("quality").alias("q"))
+    totals.select(
+        "job_id", "total_words", (F.col("total_words").cast("double") / F.col("n").cast("double")).alias("average_words"), (F.col("q") / F.col("n")).alias("average_quality")
+    ).write.json(f"{path}/statistics")
+    reports.job_distributions(cube).write.json(f"{path}/distributions")
+
+
+#: The fields of a written result that statistics are made of, and its job, which is its folder.
+RESULT_FIELDS = "content_id bigint, url string, word_count bigint, category string, sentiment string, quality_score double, job_id string"
+
+
+def read_statistics(spark: SparkSession, path: str) -> dict[str, DataFrame]:
+    """S9 read back: scraped_results, statistics and distributions."""
+    schemas = {
+        "scraped_results": RESULT_FIELDS,
+        "statistics": "job_id string, total_words bigint, average_words double, average_quality double",
+        "distributions": "job_id string, kind string, value string, n bigint",
+    }
+    return {name: spark.read.schema(schema).json(f"{path}/{name}") for name, schema in schemas.items()}
+
+
 def flat_rows(content: DataFrame) -> DataFrame:
     """Base, analysis, classification and quality columns of one flat row."""
     return content.select(
@@ -105,7 +140,12 @@ def write_csv(df: DataFrame, path: str) -> None:
     """CSV with a header; an empty table becomes one stated row."""
     if df.isEmpty():
         df = df.sparkSession.createDataFrame([(NO_DATA,)], "message string")
-    df.write.option("header", True).option("escape", '"').csv(path)
+    df.write.options(**CSV).csv(path)
+
+
+def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """What `write_csv` wrote, value by value; a null and an empty text are the same in CSV."""
+    return spark.read.schema(schema).options(**CSV, multiLine=True).csv(path)
 
 
 def display_rows(content: DataFrame) -> DataFrame:

@@ -69,7 +69,7 @@ def test_retention_removes_jobs_and_content(spark):
 def test_empty_csv_has_one_stated_row(spark, tmp_path):
     sinks.write_csv(spark.createDataFrame([], "a string"), str(tmp_path / "e"))
     text = "".join(p.read_text() for p in (tmp_path / "e").glob("*.csv"))
-    assert "No data available" in text
+    assert sinks.NO_DATA in text
 
 
 def test_export_table_logs_success_and_failure(spark, tmp_path):
