@@ -9,8 +9,9 @@ hashes of the windows are compared as sets, and where a hash occurs twice the wi
 themselves are sorted and compared, so no collision can change a count.
 
 Results for odd input: a null or wordless text has no words, all counts 0 and ratios 0, and
-fails the base check; repeated rows are judged each; an empty table gives an empty result; a
-bound on a measure that is not known is an error.
+fails the base check; repeated rows are judged each, and equal texts equally; an empty table gives an empty result; a very
+long text is measured whole within its row; columns of any name are kept in `row`, so none can clash; a bound on a measure that
+is not known is an error.
 """
 
 from __future__ import annotations
@@ -26,6 +27,9 @@ WINDOW = 5
 OTHER_BLANKS = r"[\t-\r]"
 WORD = r"[^ \t-\r]"
 SYMBOLS = "#*$%&|<>"
+LETTERS, LATIN, MARKS = r"\p{L}\p{M}", "A-Za-z", ".,;:!?"
+#: Prose has a sentence mark in so many words or fewer.
+SENTENCE_WORDS = 40
 #: Common words of the languages served: plain values, all in lower case.
 STOP_WORDS = (
     "the of and to in a is that for on are with as by at or an be this from was it "
@@ -44,7 +48,8 @@ class Rule:
 
 
 #: Production thresholds. On the labelled rows of sf0.1 that pass the base check, good texts have no symbols (bad ones mostly 0.4
-#: and more a word), at most 10 words without any stop word (bad ones 27 and more) and up to 0.33 repeated lines (bad ones 0.25).
+#: and more a word) and up to 0.33 repeated lines (bad ones 0.25). A text in a language without a listed word has no stop word
+#: either, so that rule lets prose be: mostly letters, with sentence marks or in another script than the listed languages'.
 RULES = (
     Rule("too_short", "n_words", least=10),
     Rule("too_long", "n_words", most=100_000),
@@ -58,7 +63,7 @@ RULES = (
 
 
 def measured(df: DataFrame, text: str, stop_words: Iterable[str] = STOP_WORDS) -> DataFrame:
-    """`df` as struct `row`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words."""
+    """`df` as struct `row`, with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_lines, n_stop_words, no_prose."""
     body = F.coalesce(F.col(text), F.lit(""))
     out = df.select(F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias("row"), body.alias("t"))
     out = out.select(
@@ -91,8 +96,9 @@ def measured(df: DataFrame, text: str, stop_words: Iterable[str] = STOP_WORDS) -
     step = F.transform(
         "places", lambda p, i: F.least(F.coalesce(F.get(F.col("places"), i + 1) - p, F.lit(WINDOW)), F.lit(WINDOW))
     )
-    return out.select(
+    out = out.select(
         "row",
+        "t",
         "n_words",
         F.length(F.array_join("words", "")).cast("bigint").alias("word_chars"),
         F.length(F.regexp_replace("t", f"[^{SYMBOLS}]+", "")).cast("bigint").alias("n_symbols"),
@@ -101,6 +107,12 @@ def measured(df: DataFrame, text: str, stop_words: Iterable[str] = STOP_WORDS) -
         F.size("lines").cast("bigint").alias("n_lines"),
         F.size(F.filter(words, lambda w: F.lower(w).isin(*sorted(set(stop_words))))).cast("bigint").alias("n_stop_words"),
     )
+    number = lambda signs: F.length(F.regexp_replace("t", f"[^{signs}]+", ""))
+    prose = (2 * number(LETTERS) >= F.col("word_chars")) & (
+        (SENTENCE_WORDS * number(MARKS) >= F.col("n_words")) | (2 * number(LATIN) < number(LETTERS))
+    )
+    # Only texts without a stop word are looked at again.
+    return out.select(*[c for c in out.columns if c != "t"], F.when(F.col("n_stop_words") == 0, ~prose).otherwise(False).alias("no_prose"))
 
 
 def _ratio(a: str, b: str) -> Column:
@@ -114,8 +126,8 @@ def measures() -> dict[str, Column]:
         "mean_word_chars": _ratio("word_chars", "n_words"),
         "symbols_per_word": _ratio("n_symbols", "n_words"),
         "stop_word_ratio": _ratio("n_stop_words", "n_words"),
-        # The length of a text that has none at all: a short text may well have none.
-        "words_without_stop_word": F.when(F.col("n_stop_words") == 0, F.col("n_words")).otherwise(0).cast("double"),
+        # The length of a text that has none at all and is no prose: a short text, or prose in another language, may well have none.
+        "words_without_stop_word": F.when(F.col("no_prose"), F.col("n_words")).otherwise(0).cast("double"),
         "duplicate_line_ratio": _ratio("n_dup_lines", "n_lines"),
         "repeated_word_ratio": _ratio("n_repeat_words", "n_words"),
     }
@@ -174,14 +186,17 @@ WITH w AS (
   SELECT doc_id, count(*) AS n FROM x WHERE lower(word) IN ({stops}) GROUP BY doc_id
 ), m AS (
   SELECT w.doc_id, len(words)::BIGINT AS n_words, length(array_to_string(words, ''))::BIGINT AS word_chars,
-    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
+    length(regexp_replace(t, '[^#*$%&|<>]', '', 'g'))::BIGINT AS n_symbols,
+    length(regexp_replace(t, '[^{LETTERS}]', '', 'g')) AS n_letters, length(regexp_replace(t, '[^{LATIN}]', '', 'g')) AS n_latin,
+    length(regexp_replace(t, '[^{MARKS}]', '', 'g')) AS n_marks, coalesce(n_dup, 0)::BIGINT AS n_dup_lines,
     coalesce(rep.n, 0)::BIGINT AS n_repeat_words, coalesce(n_lines, 0) AS n_lines, coalesce(stops.n, 0) AS n_stop_words
   FROM w LEFT JOIN kept_lines USING (doc_id) LEFT JOIN rep USING (doc_id) LEFT JOIN stops USING (doc_id)
 ), r AS (
   SELECT *, CASE WHEN n_words > 0 THEN word_chars::DOUBLE / n_words ELSE 0.0 END AS mean_word_chars,
     CASE WHEN n_words > 0 THEN n_symbols::DOUBLE / n_words ELSE 0.0 END AS symbols_per_word,
     CASE WHEN n_words > 0 THEN n_stop_words::DOUBLE / n_words ELSE 0.0 END AS stop_word_ratio,
-    CASE WHEN n_stop_words = 0 THEN n_words ELSE 0 END AS words_without_stop_word,
+    CASE WHEN n_stop_words = 0 AND NOT (2 * n_letters >= word_chars AND ({SENTENCE_WORDS} * n_marks >= n_words OR 2 * n_latin < n_letters))
+      THEN n_words ELSE 0 END AS words_without_stop_word,
     CASE WHEN n_lines > 0 THEN n_dup_lines::DOUBLE / n_lines ELSE 0.0 END AS duplicate_line_ratio,
     CASE WHEN n_words > 0 THEN n_repeat_words::DOUBLE / n_words ELSE 0.0 END AS repeated_word_ratio,
     n_words < 10 OR 100 * n_repeat_words > 20 * n_words AS base_failed
