@@ -15,7 +15,9 @@ shared folder. Events on a cycle, or that wait for one, are marked and come last
 Results for odd input: a result whose call is missing is an orphan, a call without result unanswered; of calls that
 repeat an identifier in a conversation the first in order counts and later ones are marked repeated; arguments that are null,
 no JSON object, too deep, or repeat a key are invalid and written as null; an unknown tool is invalid; messages without call
-or result are events of their own; null conversations or identifiers never link; an empty table gives an empty result.
+or result are events of their own; null conversations or identifiers never link; an empty table gives an empty result; events
+of one place (repeated rows) are told apart by a number that they get when written; a very long body is parsed within its row, and
+one that no parser can hold is an error of its event; only the named columns are read, so others cannot clash.
 """
 
 from __future__ import annotations
@@ -189,7 +191,7 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
         .groupBy("conv_id", "id").agg(F.min(F.struct("turn", "part", "node")).alias("f"))
         .select("conv_id", "id", F.col("f.node").alias("first"))
     )
-    answers = rows.filter("kind = 'result'").groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("answers"))
+    answers = rows.filter("kind = 'result' and conv_id is not null and id is not null").groupBy("conv_id", "id").agg(F.count(F.lit(1)).alias("answers"))
     status = (
         F.when(F.col("kind") == "message", "message")
         .when((F.col("kind") == "result") & F.col("first").isNull(), "orphan")
@@ -198,9 +200,16 @@ def link(messages: DataFrame, schemas: Mapping[str, Mapping]) -> DataFrame:
         .when(F.col("answers").isNull(), "unanswered")
         .otherwise("linked")
     )
-    out = (
-        rows.join(first.hint("shuffle_hash"), ["conv_id", "id"], "left")
+    # Only events with an identifier are dealt out by it: plain messages have none and would all meet in one task.
+    has_id = F.col("conv_id").isNotNull() & F.col("id").isNotNull()
+    linked = (
+        rows.filter(has_id).join(first.hint("shuffle_hash"), ["conv_id", "id"], "left")
         .join(answers.hint("shuffle_hash"), ["conv_id", "id"], "left")
+    )
+    nobody = F.lit(None).cast("bigint")
+    plain = rows.filter(~has_id).withColumns({"first": nobody, "answers": nobody})
+    out = (
+        linked.unionByName(plain)
         .join(ordered(rows, edges), "node")
         .select(
             "conv_id", "turn", "part", "kind", "role", "id", "name", "body", "after", status.alias("status"),
