@@ -4,7 +4,9 @@ A passage is a line; in a licence file (by its name) the whole text is one more.
 of letters and digits, with version numbers kept whole. Idf comes from the templates; a term that no template
 has gets the largest idf, and each of its occurrences counts as a term of its own. A template's `signals` are its heaviest terms,
 as many as leave the rest too light to reach the threshold alone, so a passage without a signal cannot match, and
-one pattern over the text finds all passages that may. All of this is one projection over a row.
+one pattern over the text finds all passages that may. Longer forms (whole licences, file headers, openings of long licences,
+identifier lines) have an index of their own: wherever the terms of a text, with signs, comment marks and line ends left out, hold the first
+terms of a form, as many terms as the form has are one more passage. All of this is one projection over a row.
 
 A file without a licence of its own inherits that of its nearest ancestor directory (its own directory first)
 that holds a licence file with a recognised licence. Only distinct directories are joined with their ancestors; files then
@@ -12,11 +14,13 @@ look up their directory, a directory with a large share of all files by broadcas
 
 Everything is DataFrame expressions: no Python runs on executors. Results for odd input: a null text or path gives no own licence, a null path
 nothing to inherit; empty texts have no passages; of several licence files in a directory the best score wins, then the lowest
-path; of equal templates the first listed; repeated rows are reported each; an empty table gives an empty result.
+path; of equal templates the first listed; repeated rows are reported each; a very long text is read whole within its row; columns of any name
+are kept in `row`, so none can clash; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from collections import Counter
@@ -24,6 +28,7 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from pagelens.llm.license_forms import FORMS, identifier_lines
 from pagelens.operators.skew import lookup
 from pagelens.session import scratch_path
 
@@ -73,6 +78,34 @@ class Index:
         self.pattern = "(?i)(" + "|".join(re.escape(t) for t in sorted(self.signals)) + ")"
 
 
+class Forms:
+    """The index of longer forms, and where their passages begin: at the first terms, for as many terms as each has."""
+
+    OPENING = 4
+    #: Every form has one of these words, so other texts are not split into terms.
+    HINT = "(?i)(licen[cs]e|permission|redistribution)"
+
+    def __init__(self, forms=(*FORMS, *identifier_lines(name for name, _ in (*TEMPLATES, *FORMS))), threshold: float = THRESHOLD):
+        self.index = Index(forms, threshold)
+        terms = [re.findall(TERM, text.lower()) for _, text in forms]
+        for _, text in forms:
+            if not re.search(self.HINT, text):
+                raise ValueError(f"a form without a hint: {text[:40]!r}")
+        self.starts = sorted({(" ".join(t[: self.OPENING]), len(t)) for t in terms})
+
+    def passages(self, text: Column) -> Column:
+        joined = F.array_join(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), F.lit(1)), " ")
+        # An array of one, so that the terms are joined once for all forms.
+        openings = "|".join(re.escape(opening) for opening in sorted({o for o, _ in self.starts}))
+        found = lambda j: F.when(j.rlike(rf"(?<!\S)({openings})(?!\S)"), F.flatten(F.array(*[self._at(j, *s) for s in self.starts])))
+        return F.when(text.rlike(self.HINT), F.array_distinct(F.get(F.transform(F.array(joined), found), F.lit(0))))
+
+    def _at(self, joined: Column, opening: str, n: int) -> Column:
+        more = n - len(opening.split())
+        # Looking ahead takes nothing away, so a passage may begin inside another.
+        return F.regexp_extract_all(joined, F.lit(rf"(?<!\S)(?=({re.escape(opening)}(?!\S)(?: \S+){{0,{more}}}))"), F.lit(1))
+
+
 def _vector(passage: Column, index: Index) -> Column:
     """struct(known: terms that templates have, others: number of other terms)."""
     terms = F.regexp_extract_all(F.lower(passage), F.lit(f"({TERM})"), F.lit(1))
@@ -83,10 +116,10 @@ def _vector(passage: Column, index: Index) -> Column:
 def _best(vector: Column, index: Index) -> Column:
     """struct(score, order, license) of the most similar template; ties go to the first listed."""
     known = vector["known"]
-    weights = F.create_map(
-        *[x for t in index.idf for x in (F.lit(t), F.array(*[F.lit(w.get(t, 0.0)) for w in index.weights]))]
-    )
-    idf = F.create_map(*[x for t, v in index.idf.items() for x in (F.lit(t), F.lit(v))])
+    # Written as one literal each, which is parsed once when the plan is made.
+    table = {t: [w.get(t, 0.0) for w in index.weights] for t in index.idf}
+    weights = F.from_json(F.lit(json.dumps(table)), "map<string,array<double>>")
+    idf = F.from_json(F.lit(json.dumps(index.idf)), "map<string,double>")
     zeros = F.array(*[F.lit(0.0)] * len(index.names))
     # Each occurrence of a term adds once to the products and, with those before it, to the square.
     counted = F.transform(F.array_distinct(known), lambda t: F.struct(t.alias("t"), F.size(F.filter(known, lambda x: x == t)).alias("tf")))
@@ -110,7 +143,17 @@ def _best(vector: Column, index: Index) -> Column:
     return F.struct(scored["score"].alias("score"), scored["order"].alias("order"), F.get(names, -scored["order"]).alias("license"))
 
 
-def own_licenses(df: DataFrame, path: str, text: str, index: Index, threshold: float = THRESHOLD) -> DataFrame:
+def _able(vectors: Column, index: Index, threshold: float) -> Column:
+    """The vectors that may reach the threshold, by the share of their weight that known terms can hold at most: most end here."""
+    heavy = max(index.idf.values())
+    may = lambda v: (F.size(v["known"]) > 0) & (
+        F.pow(F.size(v["known"]) * F.lit(heavy), F.lit(2.0)) * (1 - threshold**2)
+        >= threshold**2 * (v["n"] - F.size(v["known"])) * index.other**2
+    )
+    return F.filter(vectors, may)
+
+
+def own_licenses(df: DataFrame, path: str, text: str, index: Index, threshold: float = THRESHOLD, forms: Forms | None = None) -> DataFrame:
     """Columns of `df` but the text as struct `row`, path, directory, is_file (a licence file), own (score, license) or null."""
     name = F.element_at(F.split(F.col("path"), "/"), -1)
     out = df.select(
@@ -122,15 +165,15 @@ def own_licenses(df: DataFrame, path: str, text: str, index: Index, threshold: f
         F.col("text").rlike(index.pattern), F.concat(lines, F.when(F.col("is_file"), F.array("text")).otherwise(F.array().cast("array<string>")))
     )
     out = out.withColumn("vectors", F.transform(passages, lambda p: _vector(p, index)))
-    # The share of a passage's weight that known terms can hold at most: most passages end here.
-    heavy = max(index.idf.values())
-    may = lambda v: (F.size(v["known"]) > 0) & (
-        F.pow(F.size(v["known"]) * F.lit(heavy), F.lit(2.0)) * (1 - threshold**2)
-        >= threshold**2 * (v["n"] - F.size(v["known"])) * index.other**2
-    )
-    out = out.withColumn("vectors", F.filter("vectors", may))
-    best = F.array_max(F.transform("vectors", lambda v: _best(v, index)))
-    out = out.withColumn("best", F.when(F.size("vectors") > 0, best))
+    out = out.withColumn("vectors", _able(F.col("vectors"), index, threshold))
+    best = F.when(F.size("vectors") > 0, F.array_max(F.transform("vectors", lambda v: _best(v, index))))
+    if forms is not None:
+        out = out.withColumn("openings", forms.passages(F.col("text")))
+        out = out.withColumn("longer", F.transform("openings", lambda p: _vector(p, forms.index)))
+        longer = F.when(F.size("longer") > 0, F.array_max(F.transform("longer", lambda v: _best(v, forms.index))))
+        # The greater score; at equal scores the longer form.
+        best = F.when(F.coalesce(longer["score"], F.lit(-1.0)) >= F.coalesce(best["score"], F.lit(-1.0)), longer).otherwise(best)
+    out = out.withColumn("best", best)
     return out.select(
         "row",
         "path",
@@ -140,8 +183,11 @@ def own_licenses(df: DataFrame, path: str, text: str, index: Index, threshold: f
     )
 
 
-def scan(df: DataFrame, path: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS) -> DataFrame:
-    """(row: columns of `df` but the text, license, score, how: own, inherited or none, inherited_from)."""
+def scan(
+    df: DataFrame, path: str, text: str, templates=TEMPLATES, threshold: float = THRESHOLD, hot_rows: int = HOT_ROWS,
+    forms: Forms | None = None,
+) -> DataFrame:
+    """(row: columns of `df` but the text, license, score, how: own, inherited or none, inherited_from); all known forms by default."""
     spark = df.sparkSession
 
     def written(part: DataFrame, name: str) -> DataFrame:
@@ -149,7 +195,7 @@ def scan(df: DataFrame, path: str, text: str, templates=TEMPLATES, threshold: fl
         part.write.parquet(at)
         return spark.read.schema(part.schema).parquet(at)
 
-    files = written(own_licenses(df, path, text, Index(templates, threshold), threshold), "licenses")
+    files = written(own_licenses(df, path, text, Index(templates, threshold), threshold, forms or Forms(threshold=threshold)), "licenses")
     holders = (
         files.filter(F.col("is_file") & F.col("own").isNotNull() & F.col("directory").isNotNull())
         .groupBy(F.col("directory").alias("holder"))
