@@ -182,13 +182,16 @@ def _merged_leftovers(rest: DataFrame, length: int, merge_group: int) -> DataFra
     )
     parts = (moved.agg(F.max("part")).first()[0] or 0) + 1
     schema = "window bigint, into bigint, offset bigint, filled bigint"
+    # The first round looks at all windows of a group, at most the open ones of its partitions. Afterwards any two windows of a group
+    # are too long to join, so at most one is half full or less; only such a window goes on, and meets those of other groups.
+    most = length - length // 32
     while True:
         moved = moved.withColumn("part", F.floor(F.col("part") / merge_group))
         parts = -(-parts // merge_group)
         # One row per window that still stands, with its length.
         standing = moved.groupBy("into", "part").agg(F.sum("filled").alias("filled")).withColumnRenamed("into", "window")
-        # Nearly full ones need no partner, which keeps a group bounded as rounds go on.
-        wanted = standing.filter(F.col("filled") <= length - length // 32)
+        wanted = standing.filter(F.col("filled") <= most)
+        most = length // 2
         step = wanted.groupBy("part").applyInPandas(lambda g: _merge(g, length), schema)
         step = step.select(F.col("window").alias("into"), F.col("into").alias("next"), F.col("offset").alias("more"))
         moved = written(
