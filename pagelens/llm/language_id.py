@@ -14,7 +14,7 @@ For a row with text x, declared language m, address suffix s and host h, and eac
   a large share of all rows is joined by broadcast, all others by a shuffle.
 
 A row is rejected if no language reaches `least` posterior probability, or if its text has no letter
-and nothing else speaks for a language. Results for odd input: null, empty and letterless texts say nothing and the other
+and neither the declared language nor the suffix speaks for one (a host alone does not). Results for odd input: null, empty and letterless texts say nothing and the other
 evidence decides; a null or unknown declared language, suffix or host says nothing; repeated rows are judged each; without
 any declared language there is nothing to train on and every row is rejected; an empty table gives an empty result.
 """
@@ -225,7 +225,8 @@ def identify(
             "probability": 1.0 / F.aggregate("logs", F.lit(0.0), lambda s, x: s + F.exp(x - top)),
         }
     )
-    speaks = F.col("letters") | F.col("m").isin(*languages) | F.col("s").isin(*languages) | F.col("h").isNotNull()
+    # A host says what its other rows are like; of a text without letters that is no evidence.
+    speaks = F.col("letters") | F.coalesce(F.col("m").isin(*languages), F.lit(False)) | F.coalesce(F.col("s").isin(*languages), F.lit(False))
     return out.select(
         "row",
         F.get(names, F.col("place") - 1).alias("language"),
