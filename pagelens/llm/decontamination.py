@@ -28,7 +28,7 @@ from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_schema
 
 from pagelens.llm.shipping import map_arrow
-from pagelens.llm.words import ALPHANUMERIC, from_varint, slices, split_words, to_varint
+from pagelens.llm.words import ALPHANUMERIC, from_varint, ragged_take, slices, split_words, to_varint
 from pagelens.session import scratch_path
 
 WINDOW = 13
@@ -37,7 +37,7 @@ SEGMENT_BYTES = 8 << 20
 #: Bytes of test items that are searched for in one pass, and sent to each executor.
 BLOCK_BYTES = 16 << 20
 
-INDEX = "segment bigint, firsts array<int>, n_words array<int>, terms array<string>, counts array<int>, positions binary"
+INDEX = "segment bigint, firsts array<int>, n_words array<int>, terms array<string>, counts array<int>, sizes array<int>, positions binary"
 
 
 def item_blocks(items: DataFrame, key: str, text: str, block_bytes: int = BLOCK_BYTES) -> list[DataFrame]:
@@ -57,62 +57,90 @@ def read_items(block: DataFrame) -> list[tuple[str, list[str]]]:
     return sorted(set((i, tuple(w)) for i, w in found))
 
 
-def build_index(df: DataFrame, key: str, text: str, terms: list[str], slop: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
-    """The written index of `terms`: a row for each segment, with the keys and word counts of its texts."""
+def build_index(df: DataFrame, key: str, text: str, slop: int = 0, segment_bytes: int = SEGMENT_BYTES) -> DataFrame:
+    """The written index of all words: a row for each segment, with the keys and word counts of its texts.
+
+    It serves every search with a slop of at most `slop`.
+    """
     spark = df.sparkSession
     slim = df.select(F.spark_partition_id().cast("bigint").alias("part"), F.col(key).alias("key"), F.col(text).alias("text"))
     schema = T.StructType([T.StructField("keys", T.ArrayType(slim.schema["key"].dataType))] + T._parse_datatype_string(INDEX).fields)
-    sent = spark.sparkContext.broadcast(terms)
+    arrow = to_arrow_schema(schema)
     gap = slop + 1
 
     def run(batches):
-        vocabulary = pa.array(sent.value, pa.large_string())
         nth = 0
         for part in slices(batches, "text", segment_bytes):
             words = split_words(part.column("text"), ALPHANUMERIC)
-            ids = pc.index_in(words.strings(), value_set=vocabulary).fill_null(-1).to_numpy(zero_copy_only=False)
+            coded = words.strings().dictionary_encode()
+            terms, ids = coded.dictionary, coded.indices.to_numpy()
             n = np.diff(words.docs)
             # Texts are `gap` apart, so that no match crosses from one into the next.
             firsts = words.docs[:-1] + gap * np.arange(len(n))
             at = np.arange(len(ids)) + gap * np.repeat(np.arange(len(n)), n)
-            known = np.flatnonzero(ids >= 0)
-            order = known[np.argsort(ids[known].astype(np.uint16 if len(vocabulary) <= 1 << 16 else np.uint32), kind="stable")]
-            used, begin, counts = np.unique(ids[order], return_index=True, return_counts=True)
+            order = np.argsort(ids.astype(np.uint16 if len(terms) <= 1 << 16 else np.uint32), kind="stable")
+            counts = np.bincount(ids, minlength=len(terms))
+            begin = np.cumsum(counts) - counts
             steps = np.diff(at[order], prepend=0)
             steps[begin] = at[order][begin]
+            positions = to_varint(steps)
+            ends = np.flatnonzero(np.frombuffer(positions, dtype=np.uint8) < 128) + 1
+            sizes = np.diff(ends[begin + counts - 1], prepend=0)
             segment = (part.column("part")[0].as_py() << 32) | nth
             nth += 1
-            yield pa.RecordBatch.from_pylist(
-                [
-                    {
-                        "keys": part.column("key").to_pylist(),
-                        "segment": segment,
-                        "firsts": firsts.tolist(),
-                        "n_words": n.tolist(),
-                        "terms": [sent.value[i] for i in used],
-                        "counts": counts.tolist(),
-                        "positions": to_varint(steps),
-                    }
-                ],
-                schema=arrow,
-            )
+            one = {
+                "keys": part.column("key"), "firsts": firsts, "n_words": n, "terms": terms, "counts": counts, "sizes": sizes,
+            }
+            columns = {
+                c: pa.ListArray.from_arrays(pa.array([0, len(v)], pa.int32()), pa.array(v) if isinstance(v, np.ndarray) else v)
+                for c, v in one.items()
+            } | {"segment": pa.array([segment]), "positions": pa.array([positions], pa.binary())}
+            yield pa.RecordBatch.from_arrays([columns[f.name].cast(f.type) for f in arrow], schema=arrow)
 
-    arrow = to_arrow_schema(schema)
     path = scratch_path(spark, "index")
     map_arrow(slim, run, schema).write.parquet(path)
     return spark.read.schema(schema).parquet(path)
 
 
-class Segment:
-    """Position lists of one index row."""
+class Items:
+    """The test items of a block as numbers in one list of their terms, and all their windows."""
 
-    def __init__(self, terms: list[str], counts: np.ndarray, positions: bytes):
-        steps = from_varint(positions)
+    def __init__(self, items: list[tuple[str, tuple[str, ...]]], window: int):
+        self.ids = [i for i, _ in items]
+        lengths = np.array([len(w) for _, w in items], dtype=np.int64)
+        coded = pa.array([w for _, words in items for w in words], pa.large_string()).dictionary_encode()
+        self.terms, self.words = coded.dictionary, coded.indices.to_numpy().astype(np.int64)
+        firsts = np.cumsum(lengths) - lengths
+        size = np.minimum(lengths, window)
+        many = lengths - size + 1
+        self.owner = np.repeat(np.arange(len(items)), many)
+        inside = np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many)
+        self.begin, self.size = firsts[self.owner] + inside, size[self.owner]
+
+    def possible(self, known: np.ndarray) -> np.ndarray:
+        """Numbers of the windows whose terms are all known."""
+        missing = np.concatenate([[0], np.cumsum(~known[self.words])])
+        return np.flatnonzero(missing[self.begin + self.size] == missing[self.begin])
+
+
+class Segment:
+    """Position lists of one index row, for the terms of a block of items only."""
+
+    def __init__(self, row: pa.RecordBatch, items: Items):
+        column = lambda c: row.column(c).flatten()
+        place = pc.index_in(column("terms"), value_set=items.terms.cast(pa.string())).fill_null(-1).to_numpy(zero_copy_only=False)
+        used = np.flatnonzero(place >= 0)
+        counts, sizes = column("counts").to_numpy().astype(np.int64), column("sizes").to_numpy().astype(np.int64)
+        raw = np.frombuffer(row.column("positions")[0].as_buffer(), dtype=np.uint8)
+        steps = from_varint(ragged_take(raw, np.cumsum(sizes) - sizes, sizes, used).tobytes())
+        counts = counts[used]
         ends = np.cumsum(counts)
         sums = np.cumsum(steps)
         begins = ends - counts
         sums -= np.repeat(np.where(begins > 0, sums[np.maximum(begins, 1) - 1], 0), counts)
-        self.lists = {t: sums[a:b] for t, a, b in zip(terms, begins.tolist(), ends.tolist())}
+        self.known = np.zeros(len(items.terms), dtype=bool)
+        self.known[place[used]] = True
+        self.lists = {t: sums[a:b] for t, a, b in zip(place[used].tolist(), begins.tolist(), ends.tolist())}
 
     def phrase(self, lists: list[np.ndarray], slop: int = 0) -> np.ndarray:
         """Alignments of a phrase, given its words' lists: positions at which it begins."""
@@ -128,27 +156,24 @@ class Segment:
             found = found[ok]
         return found
 
-    def item(self, words: tuple[str, ...], window: int, slop: int) -> tuple[np.ndarray, np.ndarray]:
-        """Merged spans (start, end) of the item's exact windows, and starts of other proximity matches."""
+    def item(self, windows: list[list[int]], slop: int) -> tuple[np.ndarray, np.ndarray]:
+        """Merged spans (start, end) of an item's exact windows, all of one size, and starts of other proximity matches."""
         none = np.zeros(0, dtype=np.int64)
-        size = min(window, len(words))
-        lists = [self.lists.get(w, none) for w in words]
-        missing = np.cumsum([0] + [not len(x) for x in lists])
-        exact, near = [], []
-        for s in range(len(words) - size + 1):
-            if missing[s + size] > missing[s]:
-                continue
-            found = self.phrase(lists[s : s + size], slop)
+        size = len(windows[0])
+        exact, near = [none], [none]
+        for words in windows:
+            lists = [self.lists[w] for w in words]
+            found = self.phrase(lists, slop)
             if slop and len(found):
-                whole = self.phrase(lists[s : s + size])
+                whole = self.phrase(lists)
                 near.append(found[~np.isin(found, whole)])
                 found = whole
             exact.append(found)
-        starts = np.unique(np.concatenate(exact)) if exact else none
+        starts = np.unique(np.concatenate(exact))
         # Windows of one item that touch or overlap are one span.
         first = np.flatnonzero(np.diff(starts, prepend=-size - 1) > size)
         last = np.concatenate([first[1:] - 1, [len(starts) - 1]]) if len(starts) else first
-        return np.stack([starts[first], starts[last] + size], axis=1), np.concatenate(near) if near else none
+        return np.stack([starts[first], starts[last] + size], axis=1), np.concatenate(near)
 
 
 def search(index: DataFrame, items: list[tuple[str, tuple[str, ...]]], window: int = WINDOW, slop: int = 0) -> DataFrame:
@@ -156,7 +181,7 @@ def search(index: DataFrame, items: list[tuple[str, tuple[str, ...]]], window: i
 
     Starts and ends count words of the text from 0; the end is excluded.
     """
-    sent = index.sparkSession.sparkContext.broadcast(items)
+    sent = index.sparkSession.sparkContext.broadcast(Items(items, window))
     key = index.schema["keys"].dataType.elementType
     schema = T.StructType([T.StructField("key", key)] + T._parse_datatype_string(
         "segment bigint, nth int, n_words bigint, spans array<struct<item:string,start:bigint,end:bigint>>, near array<struct<item:string,start:bigint>>"
@@ -164,13 +189,18 @@ def search(index: DataFrame, items: list[tuple[str, tuple[str, ...]]], window: i
     arrow = to_arrow_schema(schema)
 
     def run(batches):
+        block = sent.value
         for batch in batches:
-            for row in (batch.slice(i, 1).to_pylist()[0] for i in range(batch.num_rows)):
-                segment = Segment(row["terms"], np.array(row["counts"], dtype=np.int64), row["positions"])
-                firsts = np.array(row["firsts"], dtype=np.int64)
+            for row in (batch.slice(i, 1) for i in range(batch.num_rows)):
+                segment = Segment(row, block)
+                firsts = row.column("firsts").flatten().to_numpy()
                 spans, near = [[] for _ in firsts], [[] for _ in firsts]
-                for item, words in sent.value:
-                    found, loose = segment.item(words, window, slop)
+                possible = block.possible(segment.known)
+                owners, at = np.unique(block.owner[possible], return_index=True)
+                for owner, own in zip(owners.tolist(), np.split(possible, at[1:])):
+                    item = block.ids[owner]
+                    windows = [block.words[a : a + n].tolist() for a, n in zip(block.begin[own].tolist(), block.size[own].tolist())]
+                    found, loose = segment.item(windows, slop)
                     for (a, b), d in zip(found.tolist(), np.searchsorted(firsts, found[:, 0], side="right") - 1):
                         spans[d].append({"item": item, "start": a - int(firsts[d]), "end": b - int(firsts[d])})
                     for a, d in zip(loose.tolist(), np.searchsorted(firsts, loose, side="right") - 1):
@@ -178,10 +208,10 @@ def search(index: DataFrame, items: list[tuple[str, tuple[str, ...]]], window: i
                 n = len(firsts)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(row["keys"], arrow.field("key").type),
-                        pa.array(np.full(n, row["segment"])),
+                        row.column("keys").flatten().cast(arrow.field("key").type),
+                        pa.array(np.full(n, row.column("segment")[0].as_py())),
                         pa.array(np.arange(n, dtype=np.int32)),
-                        pa.array(row["n_words"], pa.int64()),
+                        row.column("n_words").flatten().cast(pa.int64()),
                         pa.array(spans, arrow.field("spans").type),
                         pa.array(near, arrow.field("near").type),
                     ],
@@ -196,11 +226,10 @@ def contamination(
     window: int = WINDOW, slop: int = 0, block_bytes: int = BLOCK_BYTES, segment_bytes: int = SEGMENT_BYTES,
 ) -> DataFrame:
     """A row for each row of `df`: its key, n_words, and all matches of the test items (see `search`)."""
+    index = build_index(df, key, text, slop, segment_bytes)
     found = None
     for block in item_blocks(items, item_key, item_text, block_bytes):
-        wanted = read_items(block)
-        index = build_index(df, key, text, sorted({w for _, words in wanted for w in words}), slop, segment_bytes)
-        part = search(index, wanted, window, slop)
+        part = search(index, read_items(block), window, slop)
         found = part if found is None else found.unionByName(part)
     if found is not part:
         found = found.groupBy("segment", "nth").agg(
