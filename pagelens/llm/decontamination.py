@@ -33,7 +33,7 @@ from pagelens.session import scratch_path
 
 WINDOW = 13
 #: Bytes of text of a segment, unless one text is longer.
-SEGMENT_BYTES = 8 << 20
+SEGMENT_BYTES = 4 << 20
 #: Bytes of test items that are searched for in one pass, and sent to each executor.
 BLOCK_BYTES = 16 << 20
 
