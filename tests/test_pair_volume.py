@@ -48,6 +48,15 @@ def test_difference_of_bitmaps_is_a_lower_bound(spark):
         assert r["d"] <= len(of[r["a"]] ^ of[r["b"]])
 
 
+def test_repeated_ids_keep_their_links(spark):
+    """An id that comes twice, with the same text or another one, links whatever any of its rows links."""
+    rng = random.Random(8)
+    first, other = ([f"{p}{rng.randrange(9000)}" for _ in range(100)] for p in "uv")
+    rows = [(1, " ".join(first)), (1, " ".join(first)), (2, " ".join(first[:95])), (3, " ".join(other)), (2, " ".join(other[:96]))]
+    got = set(map(tuple, dup.clusters(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()))
+    assert got == {(1, 1), (2, 1), (3, 1)}
+
+
 def test_profiles_of_paired_texts_only(spark):
     df = spark.createDataFrame([(i, f"alpha beta {'gamma ' * (i % 3)}word{i}") for i in range(12)], "doc_id bigint, text string")
     pairs = spark.createDataFrame([(1, 4), (1, 7)], "content1_id bigint, content2_id bigint")
