@@ -249,11 +249,11 @@ def rendering_type(spark, sf):
 def page_success_split(spark, sf):
     from pagelens.streaming.ingest import page_rows
 
-    rows = page_rows(pages(spark, sf))
-    good = rows.filter("error IS NULL").select(F.lit("success").alias("outcome"), "word_count")
-    bad = rows.filter("error IS NOT NULL").select(F.lit("error").alias("outcome"), "error")
-    # Both kinds of rows are appended into one table; fields a kind lacks are null.
-    both = good.unionByName(bad, allowMissingColumns=True)
+    # Both kinds of rows are in one table; fields a kind lacks are null. A filter for each kind would parse every page again.
+    good = F.col("error").isNull()
+    both = page_rows(pages(spark, sf)).select(
+        F.when(good, "success").otherwise("error").alias("outcome"), "error", F.when(good, F.col("word_count")).alias("word_count")
+    )
     return both.groupBy("outcome", "error").agg(F.count(F.lit(1)).alias("pages"), F.sum("word_count").alias("words"))
 
 
