@@ -19,7 +19,7 @@ from pagelens.plans import parameters as P
 from pagelens.plans import sql as S
 from pagelens.plans.enrichment import enriched
 from pagelens.plans.entry import Registry, docs, pages
-from pagelens.session import scratch_path
+from pagelens.session import scratch_path, written
 from pagelens.sources import content_store, dated, sinks
 from pagelens.sources import tables as tb
 
@@ -602,7 +602,7 @@ def csv_export(spark, sf):
     UNION ALL SELECT job_id, 4, n, part, line FROM r""",
 )
 def text_report(spark, sf):
-    c = content(spark, sf)
+    c = written(content(spark, sf), "report-rows")
     return sinks.report_lines(jobs(spark, sf), rp.job_cube(c), c)
 
 
