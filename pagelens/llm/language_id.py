@@ -100,9 +100,9 @@ def trigrams(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return mixed.astype(np.int64), owner, np.bincount(owner, minlength=len(texts))
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -255,7 +255,7 @@ def _scored(packed: DataFrame, model: TextModel) -> DataFrame:
                     made |= {"best": pa.array(logs.argmax(axis=1).astype(np.int32), mask=~letters), "letters": pa.array(letters)}
                 yield pa.RecordBatch.from_arrays([made[c] if c in made else part.column(c) for c in names], names)
 
-        found = _written(map_arrow(found, run, schema), "languages")
+        found = _written(map_arrow(found, run, schema), "languages", "zstd")  # whole texts
     return found
 
 

@@ -38,6 +38,8 @@ SEED = 42
 #: Fingerprints of a table bucket that may be compared one by one.
 BUCKET = 16
 HOT_ROWS = 10_000
+#: Rows whose places are kept in one bitmap, 64 to a word.
+SPAN = 4096
 #: Shingles whose bits are counted at once: 64 bytes each.
 CHUNK = 1 << 17
 SLICE_BYTES = 4 << 20
@@ -85,10 +87,10 @@ def with_fingerprints(df: DataFrame, text: str) -> DataFrame:
     return map_arrow(packed, run, schema)
 
 
-def _written(df: DataFrame, name: str) -> DataFrame:
+def _written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """Cut lineage with a table in the shared folder: any executor may be lost afterwards."""
     path = scratch_path(df.sparkSession, name)
-    df.write.parquet(path)
+    df.write.option("compression", codec).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
@@ -165,10 +167,28 @@ def near_duplicates(df: DataFrame, key: str, text: str, bucket: int = BUCKET, ho
     )
 
 
+def _bitmaps(places: DataFrame, nth: str) -> DataFrame:
+    """(span, bits: 64 to a word) of distinct numbers, one row for each `SPAN` of them that holds any."""
+    word = places.groupBy(F.expr(f"{nth} div {SPAN}").alias("span"), F.expr(f"cast(pmod({nth}, {SPAN}) div 64 AS int)").alias("word")).agg(
+        F.expr(f"bit_or(shiftleft(1L, cast(pmod({nth}, 64) AS int)))").alias("bits")
+    )
+    found = word.groupBy("span").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("found"))
+    bits = F.transform(F.sequence(F.lit(0), F.lit(SPAN // 64 - 1)), lambda i: F.coalesce(F.try_element_at("found", i), F.lit(0).cast("bigint")))
+    return found.select("span", bits.alias("bits"))
+
+
+def _only(rows: DataFrame, nth: str, places: DataFrame) -> DataFrame:
+    """The `rows` whose number is among `places`. Bitmaps of the places travel to the rows, so no text is shuffled while they can be broadcast."""
+    bits = _written(_bitmaps(places, nth), "kept")
+    own = f"get(bits, cast(pmod({nth}, {SPAN}) div 64 AS int))"
+    held = F.expr(f"{own} & shiftleft(1L, cast(pmod({nth}, 64) AS int)) != 0")
+    return rows.withColumn("span", F.expr(f"{nth} div {SPAN}")).join(bounded_broadcast(bits), "span").filter(held)
+
+
 def deduplicate(df: DataFrame, key: str, text: str, bucket: int = BUCKET, hot_rows: int = HOT_ROWS) -> DataFrame:
     """`df` with one row of each component: one that has the lowest key (nulls last), the first as read if repeated."""
-    rows = _written(with_fingerprints(df, text).withColumn("nth", F.monotonically_increasing_id()), "rows")
+    rows = _written(with_fingerprints(df, text).withColumn("nth", F.monotonically_increasing_id()), "rows", "zstd")
     slim = rows.select(F.col(f"row.`{key}`").alias("id"), "fingerprint", "nth")
     labelled = lookup(slim, label_fingerprints(slim, "id", bucket), "fingerprint", hot_rows)
     kept = labelled.filter(F.col("id").eqNullSafe(F.col("component_id"))).groupBy("root").agg(F.min("nth").alias("nth"))
-    return rows.join(kept.select("nth"), "nth", "left_semi").select("row.*")
+    return _only(rows, "nth", kept.select("nth")).select("row.*")

@@ -22,6 +22,7 @@ from __future__ import annotations
 
 import re
 from collections import Counter
+from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from pagelens.llm.shipping import map_arrow
+from pagelens.llm.shipping import map_arrow, trim
 from pagelens.llm.words import ALPHANUMERIC, slices, split_words, texts_of
 
 #: Labelled texts of each class that training and calibration read at most; each of them whole.
@@ -39,6 +40,7 @@ WINDOW_WORDS = (5, 8, 13)
 TRAIN_WINDOW = 16
 LEVEL = 6
 SLICE_BYTES = 4 << 20
+TRAIN_BYTES = 1 << 19
 ORDINARY_BYTES = 8 << 10
 NEAR_BYTES = 20_000
 TOXIC_BYTES = 64 << 10
@@ -131,12 +133,22 @@ def _sample(
     return rows, [found.get(0, 0), found.get(1, 0)]
 
 
+def _pieces(texts: list[str]) -> Iterator[pa.Array]:
+    """The texts in order, in pieces that the driver can work on: their tables take several times the text."""
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.large_string())], ["text"])
+    for part in slices(iter([batch]), "text", TRAIN_BYTES):
+        yield part.column("text")
+
+
 def _bytes_words(texts: list[str]) -> list[list[bytes]]:
-    if not texts:
-        return []
-    words = split_words(pa.array(texts, pa.large_string()), ALPHANUMERIC)
-    flat = words.joined.tobytes().split()
-    return [flat[a:b] for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist())]
+    """The words of each text; equal words are one object."""
+    out: list[list[bytes]] = []
+    known: dict[bytes, bytes] = {}
+    for part in _pieces(texts):
+        words = split_words(part, ALPHANUMERIC)
+        flat = [known.setdefault(w, w) for w in words.joined.tobytes().split()]
+        out += [flat[a:b] for a, b in zip(words.docs[:-1].tolist(), words.docs[1:].tolist())]
+    return out
 
 
 def _windows(texts: list[list[bytes]]) -> list[bytes]:
@@ -231,8 +243,10 @@ def train(
                 break
             extra = b" " + w + extra
         model.ordinary = plain + extra
-    found = model.differences(pa.array([t for t, _ in rows], pa.large_string()))
-    model.chance = _pooled(found.tolist(), [y for _, y in rows], totals)
+    del toxic, ordinary
+    found = [d for part in _pieces([t for t, _ in rows]) for d in model.differences(part).tolist()]
+    model.chance = _pooled(found, [y for _, y in rows], totals)
+    trim()
     return model
 
 
