@@ -51,8 +51,13 @@ def job_rows(spark: SparkSession, sf: str) -> DataFrame:
     return tb.job_rows(docs(spark, sf))
 
 
-def jobs(spark: SparkSession, sf: str) -> DataFrame:
-    return rp.job_status(rp.job_counters(job_rows(spark, sf)), cancelled(spark, sf))
+def checked_rows(spark: SparkSession, sf: str) -> DataFrame:
+    """`job_rows` as a table without texts, for queries that read them several times: every text is checked once."""
+    return written(job_rows(spark, sf), "checked-rows")
+
+
+def jobs(spark: SparkSession, sf: str, rows: DataFrame | None = None) -> DataFrame:
+    return rp.job_status(rp.job_counters(job_rows(spark, sf) if rows is None else rows), cancelled(spark, sf))
 
 
 @ENTRIES.add("job_counters", "A1 A2", f"WITH {S.JOBS} SELECT * FROM counters")
@@ -615,10 +620,9 @@ def text_report(spark, sf):
     UNION ALL SELECT 'errors', count(*), min(reason || ': ' || url) FROM job_rows WHERE reason IS NOT NULL""",
 )
 def sheet_tables(spark, sf):
-    c = content(spark, sf)
+    c, rows = content(spark, sf), checked_rows(spark, sf)
     sheets = sinks.sheet_tables(
-        jobs(spark, sf), c, c.select("job_id", "url", F.col("content").alias("response")),
-        rp.job_errors(job_rows(spark, sf)),
+        jobs(spark, sf, rows), c, c.select("job_id", "url", F.col("content").alias("response")), rp.job_errors(rows)
     )
     keys = {"job_summary": "job_id", "results": "url", "detailed_analysis": "summary", "errors": "message"}
     path = scratch_path(spark, "sheets")
@@ -641,8 +645,9 @@ def sheet_tables(spark, sf):
 )
 def sheet_rows(spark, sf):
     path, c, day = scratch_path(spark, "workbook"), content(spark, sf), F.lit(AS_OF).cast("timestamp_ntz")
+    rows = checked_rows(spark, sf)
     sheets = sinks.sheet_tables(
-        jobs(spark, sf), c, c.select("job_id", "url", F.col("content").alias("response")), rp.job_errors(job_rows(spark, sf))
+        jobs(spark, sf, rows), c, c.select("job_id", "url", F.col("content").alias("response")), rp.job_errors(rows)
     )
     shown = {
         "job_summary": (F.lit(None).cast("string"), F.col("total_urls"), F.concat_ws(" ", "status", "processed_urls", "failed_urls")),

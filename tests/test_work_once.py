@@ -49,6 +49,16 @@ def test_text_report_analyses_rows_once(spark, tmp_path, monkeypatch):
     assert seen.value == 60
 
 
+def test_sheets_check_texts_once(spark, tmp_path, monkeypatch):
+    folder = _tables(spark, tmp_path / "t")
+    for name, n in (("sheet_rows", 3 + 60 + 60), ("sheet_tables", 4)):
+        rows, seen = _counted(spark, job_queries.tb.job_rows(job_queries.docs(spark, folder)), "failed")
+        monkeypatch.setattr(job_queries, "job_rows", lambda *_, rows=rows: rows)
+        got = getattr(job_queries, name)(spark, folder).collect()
+        assert len([r for r in got if r["sheet"] != "errors" or name == "sheet_tables"]) == n
+        assert seen.value == 60
+
+
 def test_page_success_split_reads_pages_once(spark, tmp_path):
     out = page_queries.page_success_split(spark, _tables(spark, tmp_path / "t"))
     assert out._jdf.queryExecution().optimizedPlan().toString().count("Relation [") == 1
