@@ -40,6 +40,8 @@ def objective(rows: DataFrame, sizes: Sequence[int], block: int = BLOCK) -> Call
     spark, sizes = rows.sparkSession, list(sizes)
     sparse = F.unwrap_udt("features")
     slim = rows.select(sparse["indices"].alias("i"), sparse["values"].alias("x"), F.col("label_index").cast("int").alias("y"))
+    # Each task returns a gradient as large as the weights: as many as there are cores, however large the input.
+    slim = slim.coalesce(spark.sparkContext.defaultParallelism)
 
     def at(weights: np.ndarray) -> tuple[float, np.ndarray]:
         sent = spark.sparkContext.broadcast(weights)

@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark import RDD
 from pyspark.ml.classification import MultilayerPerceptronClassifier
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import functions as F
@@ -48,3 +49,12 @@ def test_no_trainer_that_makes_rows_dense_sees_them(spark, monkeypatch):
     seen.clear()
     md.training_history(df, df, "y", layers=(4,), epochs=2)
     assert max(seen) == 1
+
+
+def test_gradients_are_as_many_as_cores(spark, tmp_path, monkeypatch):
+    _vectors(spark, str(tmp_path / "rows")).repartition(40).write.parquet(str(tmp_path / "many"))
+    rows, seen, tree = spark.read.parquet(str(tmp_path / "many")).repartition(40), [], RDD.treeReduce
+    monkeypatch.setattr(RDD, "treeReduce", lambda self, *a: seen.append(self.getNumPartitions()) or tree(self, *a))
+    losses = nw.train_network(rows, [40, 5, 3], 2)[1]
+    assert len(losses) == 3 and losses[-1] < losses[0]
+    assert max(seen) <= spark.sparkContext.defaultParallelism
