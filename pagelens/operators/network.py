@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block, as in MLlib; the objective is the mean of the blocks' means.
 BLOCK = 128
+#: Gradients that the driver adds up itself.
+FEW = 16
 #: Steps that the search remembers, its tolerance, and the bounds of its line search (sufficient decrease, curvature).
 MEMORY, TOLERANCE = 10, 1e-6
 DECREASE, CURVATURE, TRIES = 1e-4, 0.9, 10
@@ -100,7 +102,9 @@ def objective(rows: DataFrame, sizes: Sequence[int], block: int = BLOCK) -> Call
                 )
 
         parts = slim.mapInArrow(run, "loss double, blocks bigint, gradient binary").rdd.map(lambda r: (r[0], r[1], np.frombuffer(r[2])))
-        loss, n, gradient = parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]))
+        # A few gradients are added up by the driver; more of them in a tree, through shuffles.
+        depth = 1 if parts.getNumPartitions() <= FEW else 2
+        loss, n, gradient = parts.treeReduce(lambda a, b: (a[0] + b[0], a[1] + b[1], a[2] + b[2]), depth)
         sent.destroy()
         return loss / n, gradient / n
 
