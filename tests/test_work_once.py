@@ -10,6 +10,7 @@ from pagelens.functions.arrays import add_top_items
 from pagelens.operators import duplicates as dup
 from pagelens.operators import entities as ents
 from pagelens.operators import features as ft
+from pagelens.operators import models as md
 from pagelens.plans import job_queries, page_queries
 from pagelens.sources import content_store
 
@@ -129,3 +130,28 @@ def test_texts_travel_by_block_not_by_pair(spark, monkeypatch):
     want = [(a, b, share(x, y)) for a, b in pairs for x in of.get(a, ()) for y in of.get(b, ())]
     assert sorted((r["content1_id"], r["content2_id"], r["jaccard_similarity"]) for r in got) == sorted(want)
     assert "ShuffledHashJoin" in plans[-1] and not re.search(r"hashpartitioning\([^)]*content2_id", plans[-1])
+
+
+def test_training_keeps_no_texts_in_executors(spark, monkeypatch):
+    """What training reads again are written counts; the terms of the texts are neither cached nor written."""
+    kept, cached = [], []
+
+    def spy(df, name, *more, _kept=md.kept):
+        kept.append((name, df.columns))
+        return _kept(df, name, *more)
+
+    frame = type(spark.range(1))
+    monkeypatch.setattr(md, "kept", spy)
+    monkeypatch.setattr(frame, "persist", lambda self, *a, _p=frame.persist: (cached.append(self.columns), _p(self, *a))[1])
+    rows = [(i, "alpha beta gamma" if i % 2 else "delta epsilon zeta", "odd" if i % 2 else "even") for i in range(40)] + [(99, "", "odd")]
+    df = spark.createDataFrame(rows, "id bigint, text string, y string")
+    ready = md.prepared(df, "text", ["the"])
+    assert "text" not in ready.columns
+    of = lambda d: {r["id"]: (r["terms"], r["error"]) for r in d.collect()}
+    assert of(ready) == of(md.with_terms(df, "text", ["the"]))
+    for layers in (None, (3,)):
+        model = md.train_classifier(ready, "y", layers=layers, epochs=3)
+        assert [type(s).__name__ for s in model.stages[:4]] == ["StringIndexerModel", "CountVectorizerModel", "IDFModel", "NormalizerModel"]
+        assert md.predict(model, ready, ["id"]).count() == 41
+    assert not any("terms" in c for c in cached) and not any("terms" in c for _, c in kept)
+    assert {n for n, _ in kept} == {"words", "counts", "network-vectors"}
