@@ -151,7 +151,39 @@ def test_training_keeps_no_texts_in_executors(spark, monkeypatch):
     assert of(ready) == of(md.with_terms(df, "text", ["the"]))
     for layers in (None, (3,)):
         model = md.train_classifier(ready, "y", layers=layers, epochs=3)
-        assert [type(s).__name__ for s in model.stages[:4]] == ["StringIndexerModel", "CountVectorizerModel", "IDFModel", "NormalizerModel"]
+        assert [type(s).__name__ for s in model.stages[:4]] == ["StringIndexerModel", "CountVectorizerModel", "IDFModel", "Normalizer"]
         assert md.predict(model, ready, ["id"]).count() == 41
     assert not any("terms" in c for c in cached) and not any("terms" in c for _, c in kept)
     assert {n for n, _ in kept} == {"words", "counts", "network-vectors"}
+
+
+def test_scratch_holds_only_what_is_in_use(spark, monkeypatch):
+    """Tables between the steps of clustering go once they are read, and word sets are written once."""
+    rows = [(i, " ".join(f"w{i // 4}x{k}" for k in range(20) if k != i % 4)) for i in range(40)] + [(90, ""), (91, None)]
+    kept = []
+
+    def spy(df, _written=dup._written):
+        kept.append(_written(df))
+        return kept[-1]
+
+    monkeypatch.setattr(dup, "_written", spy)
+    got = dict(map(tuple, dup.clusters(spark.createDataFrame(rows, "doc_id bigint, text string"), "doc_id", "text").collect()))
+    assert got == {i: i - i % 4 for i in range(40)} | {90: 90} | ({91: 91} if 91 in got else {})
+    there = []
+    for df in kept:
+        path = spark._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]) if df.inputFiles() else None
+        there.append(path is not None and path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).exists(path))
+    left = [df.columns for df, here in zip(kept, there) if here]
+    assert not any({"words", "token", "marks"} & set(c) for c in left) and len(left) < len(kept) / 2
+    assert sum("words" in df.columns for df in kept) <= 3  # all representatives, and those in doubt of each round
+
+
+def test_pairs_of_rare_words_need_no_count(spark):
+    """The listed terms are those of counting every term, with ties, however few are asked for."""
+    rng = random.Random(2)
+    words = [f"w{k}" for k in range(60)]
+    texts = [(i, [rng.choice(words[: rng.randrange(1, 60)]) for _ in range(30)]) for i in range(80)]
+    df = md.terms_of_words(spark.createDataFrame(texts, "id bigint, __words array<string>")).persist()
+    for n, spare in ((5, 2), (30, 5), (200, 20), (5000, 1000)):
+        for share in (0.95, 0.3):
+            assert ft.frequent_terms(df, n, share, spare, paired=True) == ft.frequent_terms(df, n, share, spare)
