@@ -175,8 +175,10 @@ def _searched(along: Callable[[float], tuple], start: tuple, t: float) -> tuple:
     raise NoStep("search")
 
 
-def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int) -> tuple[np.ndarray, list[float]]:
-    """(the weights after at most `steps` steps of limited-memory BFGS, the loss before and after each)."""
+def minimised(
+    f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray, steps: int, seen: list[np.ndarray] | None = None
+) -> tuple[np.ndarray, list[float]]:
+    """(the weights after at most `steps` steps of limited-memory BFGS, the loss before and after each); `seen` gets the weights after each."""
     value, grad = f(x)
     past: list[tuple[np.ndarray, np.ndarray]] = []
     losses, recent, failed = [value], [np.inf], False
@@ -204,14 +206,16 @@ def minimised(f: Callable[[np.ndarray], tuple[float, np.ndarray]], x: np.ndarray
         past = [(new - x, found[3] - grad), *past][:MEMORY]
         x, value, grad = new, found[1], found[3]
         losses.append(value)
+        if seen is not None:
+            seen.append(x)
         recent = [*recent, value][-20:]
     return x, losses
 
 
 def train_network(
-    rows: DataFrame, sizes: Sequence[int], steps: int, weights: np.ndarray | None = None, seed: int = 42
+    rows: DataFrame, sizes: Sequence[int], steps: int, weights: np.ndarray | None = None, seed: int = 42, seen: list[np.ndarray] | None = None
 ) -> tuple[np.ndarray, list[float]]:
     """(weights, losses: before and after each step) of a network of layer `sizes` over written `rows` (features, label_index)."""
     if weights is None:
         weights = as_model(rows.sparkSession, sizes, seed=seed).weights.toArray()
-    return minimised(objective(rows, sizes), weights, steps)
+    return minimised(objective(rows, sizes), weights, steps, seen)
